@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import gram_hashes, mix, rows_per_batch, settle, word_hashes, words
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
 #: Document frequencies live in a sketch of ROWS_DF rows of CELLS counters; idf stops growing below FLOOR of the documents.
 ROWS_DF, CELLS, CHUNK, FLOOR = 2, 1 << 18, 1 << 11, 0.02
 _TABLE = 1 << 14  # random triples of each sample, picked by a hash of the shingle
@@ -65,11 +65,11 @@ class Sampler:
         rng = np.random.default_rng(seed)
         gamma = lambda: rng.gamma(2.0, 1.0, (n, _TABLE)).astype(np.float32)
         self.r, self.logc, self.beta = gamma(), np.log(gamma()), rng.random((n, _TABLE)).astype(np.float32)
-        self.odd = rng.integers(1 << 62, 1 << 63, n, np.uint64) | np.uint64(1)
-        self.base = (np.arange(n) * _TABLE).astype(np.int64)
+        self.odd = rng.integers(1 << 30, 1 << 32, n, np.uint32) | np.uint32(1)
+        self.base = (np.arange(n) * _TABLE).astype(np.uint32)[:, None]
         self.top = top
         # Most shingles are rare and occur once: what they get is looked up.
-        a, t = self._levels(np.full((n, _TABLE), np.log(top)), self.r, self.logc, self.beta)
+        a, t = self._levels(np.full((n, _TABLE), np.log(top), np.float32), self.r, self.logc, self.beta)
         self.usual_a, self.usual_t = a.astype(np.float32).ravel(), t.astype(np.int32).ravel()
 
     @staticmethod
@@ -85,23 +85,25 @@ class Sampler:
         level = np.zeros(n, np.int64)
         at_k = np.arange(n)
         with np.errstate(over="ignore"):
-            for lo in range(0, len(h), 2048):
-                x, y = h[lo : lo + 2048], w[lo : lo + 2048]
-                at = ((x[:, None] * self.odd[None, :]) >> np.uint64(50)).astype(np.int64) + self.base
+            for lo in range(0, len(h), 1024):
+                x, y = h[lo : lo + 1024], w[lo : lo + 1024]
+                at = self.odd[:, None] * (x >> np.uint64(32)).astype(np.uint32)[None, :]
+                at >>= np.uint32(18)
+                at += self.base
                 a = self.usual_a.take(at)
-                odd = np.flatnonzero(np.abs(y - self.top) > 1e-9)
+                odd = np.flatnonzero(np.abs(y - self.top) > 1e-5)
                 if len(odd):
-                    own = at[odd]
-                    a_odd, t_odd = self._levels(np.log(y[odd])[:, None], self.r.ravel()[own], self.logc.ravel()[own], self.beta.ravel()[own])
-                    a[odd] = a_odd.astype(np.float32)
-                i = a.argmin(0)
-                least = a[i, at_k]
-                t = self.usual_t[at[i, at_k]].astype(np.int64)
+                    own = at[:, odd]
+                    a_odd, t_odd = self._levels(np.log(y[odd]).astype(np.float32)[None, :], self.r.ravel()[own], self.logc.ravel()[own], self.beta.ravel()[own])
+                    a[:, odd] = a_odd
+                i = a.argmin(1)
+                least = a[at_k, i]
+                t = self.usual_t[at[at_k, i]].astype(np.int64)
                 if len(odd):
                     where = np.full(len(x), -1, np.int64)
                     where[odd] = np.arange(len(odd))
                     own = where[i]
-                    t = np.where(own >= 0, t_odd[np.maximum(own, 0), at_k].astype(np.int64), t)
+                    t = np.where(own >= 0, t_odd[at_k, np.maximum(own, 0)].astype(np.int64), t)
                 better = least < best
                 best[better], pick[better], level[better] = least[better], x[i][better], t[better]
             return mix(pick + mix(level.view(np.uint64) + np.uint64(0x51ED)))
@@ -132,13 +134,13 @@ def _scan(docs: DataFrame) -> DataFrame:
         counts = np.zeros((ROWS_DF, CELLS), np.uint32)
         names = ["doc_id", "node", "chunk", "counts"]
         for batch in rows_per_batch(batches):
-            nodes = []
+            nodes, grams = [], [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 found = words(text)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63) if found else None)
-                h = np.unique(gram_hashes(word_hashes(found, memo), SHINGLE))
-                for r, c in enumerate(_cells(h)):
-                    np.add.at(counts[r], c, 1)
+                grams.append(np.unique(gram_hashes(word_hashes(found, memo), SHINGLE)))
+            for r, c in enumerate(_cells(np.concatenate(grams))):
+                counts[r] += np.bincount(c, minlength=CELLS).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())], names)
         parts = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(1))
