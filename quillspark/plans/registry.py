@@ -1,9 +1,186 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries and, where SQL states the result, the SQL that checks them."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from quillspark.functions import lexicon as L
+from quillspark.functions import text as T
+from quillspark.operators import documents as O
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents spread over the cores: a table of one small file is one task otherwise."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "n_chars")
+    return docs.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("page_text"))
+
+
+QUESTIONS = [
+    (1, "What material is studied?"), (2, "How is the sample prepared?"), (3, "What does the result show?"), (4, "What are the limitations?"),
+    (5, "How is the oxide film grown?"), (6, "What temperature and voltage are used?"), (7, "Why?"), (8, "材料是什么？"),
+]
+EXPECTED_TYPES = ["materials_system", "method", "result", "limitation", "materials_system", "parameter", "general", "materials_system"]
+CITED = [(1, "Grown [1] by ALD [2,3] in air ."), (2, "No marks here."), (3, "Seen before [4-6], and again [7].")]
+CITED_OUT = ["Grown by ALD in air.", "No marks here.", "Seen before, and again."]
+HEADED = [(1, "2.1 Methods"), (2, "Model predictions agree well."), (3, "Mild results were seen."), (4, "The references say so"), (5, "IV. Discussion"), (6, "A line of prose")]
+HEADED_OUT = ["methods", "methods", "results", None, "discussion", None]
+
+
+def clean_text_stats(spark, sf_dir):
+    c = T.clean_text(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.length(c).cast("long").alias("clean_chars"), F.sha2(c, 256).alias("clean_sha256"))
+
+
+def word_counts(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).cast("long").alias("n_words"))
+
+
+def sentences(spark, sf_dir):
+    return O.sentence_rows(_documents(spark, sf_dir))
+
+
+def sentence_quality(spark, sf_dir):
+    rows = O.sentence_rows(_documents(spark, sf_dir))
+    return rows.select("doc_id", "position", T.is_bad_for_summary(F.col("sentence")).alias("bad_for_summary"))
+
+
+def passages(spark, sf_dir):
+    return O.page_passages(_pages(spark, sf_dir))
+
+
+def term_hits(spark, sf_dir):
+    return O.term_hits(_documents(spark, sf_dir), L.COMMON)
+
+
+def domain_hints(spark, sf_dir):
+    return O.domain_hints(_documents(spark, sf_dir), L.COMMON)
+
+
+_ALIASES = {"abstract": ["the"], "methods": ["of"], "results": ["and"], "references": ["zzz"]}
+
+
+def sections(spark, sf_dir):
+    return O.sections(_documents(spark, sf_dir), _ALIASES)
+
+
+def summary_candidates(spark, sf_dir):
+    return O.summary_candidates(_documents(spark, sf_dir), _ALIASES)
+
+
+def role_evidence(spark, sf_dir):
+    return O.role_evidence(O.summary_candidates(_documents(spark, sf_dir), _ALIASES), L.COMMON, {})
+
+
+def research_brief(spark, sf_dir):
+    return O.research_brief(_documents(spark, sf_dir))
+
+
+def keywords(spark, sf_dir):
+    return O.keywords(_documents(spark, sf_dir))
+
+
+def keyword_overlap(spark, sf_dir):
+    return O.keyword_overlap(_documents(spark, sf_dir))
+
+
+def retrieve_multi(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return O.retrieve(O.passage_rows(_documents(spark, sf_dir)), items)
+
+
+def evidence_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    found = pages.select("doc_id", F.explode(T.sentences(F.col("page_text"))).alias("sentence")).distinct()
+    return O.evidence_pages(found, pages)
+
+
+def question_types(spark, sf_dir):
+    return O.question_types(spark.createDataFrame(QUESTIONS, "query_id int, query string"))
+
+
+def citation_strip(spark, sf_dir):
+    return spark.createDataFrame(CITED, "id int, s string").select("id", T.strip_citations(F.col("s")).alias("stripped"))
+
+
+def heading_classes(spark, sf_dir):
+    return spark.createDataFrame(HEADED, "id int, line string").select("id", T.section_of(F.col("line"), L.SECTION_ALIASES).alias("section"))
+
+
+def unique_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("upload_ord"), F.col("source").alias("name"))
+    return O.unique_names(docs).select("upload_ord", "name", "unique_name")
+
+
+def upload_limits(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("workspace"), F.col("n_chars").alias("size_bytes"))
+    return O.upload_limits(docs, 49, 100_000)
+
+
+def preview(spark, sf_dir):
+    p = T.preview(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.length(p).cast("long").alias("preview_chars"), F.sha2(p, 256).alias("preview_sha256"))
+
+
+def target_documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id = 7").select("doc_id", "n_chars")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = [
+        clean_text_stats, word_counts, sentences, sentence_quality, passages, term_hits, domain_hints, sections, summary_candidates, role_evidence,
+        research_brief, keywords, keyword_overlap, retrieve_multi, evidence_pages, question_types, citation_strip, heading_classes, unique_names,
+        upload_limits, preview, target_documents,
+    ]
+    return {f.__name__: f for f in own}
+
+
+def _values(rows) -> str:
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def oracle_sql() -> dict[str, str]:
+    stop = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, '{g}' AS term_group, ("
+        + " + ".join(rf"regexp_matches(lower(text), '(^|[^a-z0-9]){t.replace(' ', chr(92) + 's+')}($|[^a-z0-9])')::INT" for t in terms)
+        + ")::BIGINT AS hits FROM documents"
+        for g, terms in L.COMMON.items()
+    )
+    w = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), lambda x: x NOT IN (" + stop + "))"
+    tf = f"""
+        w AS (SELECT doc_id, {w} AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS term FROM w UNION ALL
+              SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM f QUALIFY rank <= 500),
+        k AS (SELECT doc_id, rank, term AS keyword, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS score FROM r QUALIFY rank <= 15)"""
+    clean = (
+        r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+        r"replace(coalesce(text, ''), chr(13), chr(10)), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '\(cid:\d+\)', ' ', 'g'), "
+        rf"'[{T.ARTIFACTS}]+', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\s+([,.;:!?])', '\1', 'g'), '\(\s+', '(', 'g'), ' ' || chr(10))"
+    )
+    clean = rf"regexp_replace({clean}, '\s+\)', ')', 'g')"
+    return {
+        "clean_text_stats": f"SELECT doc_id, length({clean}) AS clean_chars, sha256({clean}) AS clean_sha256 FROM documents",
+        "word_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n_words FROM documents",
+        "term_hits": f"SELECT * FROM ({hits}) WHERE hits > 0",
+        "keywords": f"WITH {tf} SELECT doc_id, rank, keyword, score FROM k",
+        "keyword_overlap": f"WITH {tf} SELECT keyword, count(*) AS n_docs, CASE WHEN count(*) = 1 THEN min(doc_id) END AS doc_id FROM k GROUP BY keyword",
+        "question_types": f"SELECT * FROM (VALUES {_values([(q[0], t) for q, t in zip(QUESTIONS, EXPECTED_TYPES, strict=True)])}) v(query_id, question_type)",
+        "citation_strip": f"SELECT * FROM (VALUES {_values([(c[0], t) for c, t in zip(CITED, CITED_OUT, strict=True)])}) v(id, stripped)",
+        "heading_classes": f"SELECT * FROM (VALUES {_values([(c[0], t) for c, t in zip(HEADED, HEADED_OUT, strict=True)])}) v(id, section)",
+        "unique_names": "SELECT doc_id AS upload_ord, source AS name, CASE WHEN n = 1 THEN source ELSE source || ' (' || n || ')' END AS unique_name "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
+        "upload_limits": "SELECT source AS workspace, CASE WHEN count(*) > 49 THEN 'too_many_files' WHEN sum(n_chars) > 100000 THEN 'total_size_exceeded' END AS violation FROM documents GROUP BY source",
+        "preview": "SELECT doc_id, length(p) AS preview_chars, sha256(p) AS preview_sha256 FROM (SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '...' ELSE text END AS p FROM documents)",
+        "target_documents": "SELECT doc_id, n_chars FROM documents WHERE doc_id = 7",
+    }
