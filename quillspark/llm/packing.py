@@ -25,7 +25,7 @@ class Encoder:
     the concatenation of its pieces; any other text is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,7 +33,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # Two generations of pieces: a full one becomes the old one, from which pieces that are met again come back.
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = limit
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -50,12 +52,28 @@ class Encoder:
             return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
         except KeyError:
             if len(self.memo) > self.limit:
-                self.memo.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
+                self.old, self.memo = self.memo, {}
+            new = []
+            for p in dict.fromkeys(pieces):
+                if p not in self.memo:
+                    known = self.old.get(p)
+                    if known is None:
+                        new.append(p)
+                    else:
+                        self.memo[p] = known
             self.memo.update(zip(new, self._whole([p[1:] if p[0] == "\0" else p for p in new]), strict=True))
             return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
 
 
+_ENCODERS: dict[str, Encoder] = {}  # of a Python worker: pieces stay known from task to task
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of each document's ids and end_id: (doc_id, piece, start, length, ids_crc32[, ids]).
 
@@ -64,7 +82,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = _encoder(tokenizer)
         for batch in rows_per_batch(batches, 4 << 20):
             out: list[list] = [[], [], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
