@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import mix, rows_per_batch, settle
 
-LENGTH, ANCHOR, SHARD_BYTES, BLOCK = 200, 32, 8 << 20, 1 << 20
+LENGTH, ANCHOR, SHARD_BYTES, BLOCK = 200, 32, 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
