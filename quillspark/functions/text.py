@@ -29,6 +29,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def once(c: Column, then) -> Column:
+    """A predicate or value of c, which is evaluated one time however often `then` names it."""
+    return F.transform(F.array(c), then)[0]
+
+
 def tokens(c: Column) -> Column:
     """Words between white space, without empty ones."""
     return F.filter(F.split(c, WHITE + "+"), lambda x: x != "")
@@ -134,13 +139,15 @@ def _quality(s: Column, most_words: int, metadata: list[str], markers: list[str]
 
 
 def is_noisy(c: Column) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
-    artifacts = F.regexp_count(s, F.lit(lit_class(ARTIFACTS))) + F.regexp_count(s, F.lit("�"))
-    return _quality(s, 90, NOISE_METADATA, NOISE_MARKERS, NOISE_SYMBOLS, 6, 0.48) | (artifacts > 1) | s.rlike(r"^\d{5,}-\d+")
+    def judged(s: Column) -> Column:
+        artifacts = F.regexp_count(s, F.lit(lit_class(ARTIFACTS))) + F.regexp_count(s, F.lit("�"))
+        return _quality(s, 90, NOISE_METADATA, NOISE_MARKERS, NOISE_SYMBOLS, 6, 0.48) | (artifacts > 1) | s.rlike(r"^\d{5,}-\d+")
+
+    return once(strip(F.coalesce(c, F.lit(""))), judged)
 
 
 def is_bad_for_summary(c: Column) -> Column:
-    return _quality(strip(F.coalesce(c, F.lit(""))), 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45)
+    return once(strip(F.coalesce(c, F.lit(""))), lambda s: _quality(s, 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45))
 
 
 def sentences(c: Column) -> Column:

@@ -43,35 +43,54 @@ def domain_hints(docs: DataFrame, groups: dict[str, list[str]] = L.DOMAIN, most:
     return every.join(top, ["doc_id", "category"], "left").select("doc_id", "category", "hint_no", F.col("sentence").alias("hint"))
 
 
+def section_array(c: Column, aliases: dict[str, list[str]]) -> Column:
+    """Array of (section, section_text): lines under the last heading before them; `references` is skipped; body is first."""
+    lines = F.filter(F.transform(F.split(T.clean_text(c), "\n"), T.strip), lambda x: x != "")
+    empty = F.struct(F.lit("body").alias("section"), F.expr("cast(array() as array<struct<section:string,line:string>>)").alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        kept = F.when(s["section"] == "references", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["section"].alias("section"), line.alias("line")))))
+        return T.once(
+            T.section_of(line, aliases),
+            lambda heading: F.when(heading.isNotNull(), F.struct(heading.alias("section"), s["out"].alias("out"))).otherwise(F.struct(s["section"].alias("section"), kept.alias("out"))),
+        )
+
+    def merged(rows: Column) -> Column:
+        names = F.array_distinct(F.transform(rows, lambda r: r["section"]))
+        first = F.concat(F.filter(names, lambda n: n == "body"), F.filter(names, lambda n: n != "body"))
+        return F.transform(first, lambda n: F.struct(n.alias("section"), F.array_join(F.transform(F.filter(rows, lambda r: r["section"] == n), lambda r: r["line"]), "\n").alias("section_text")))
+
+    return T.once(F.aggregate(lines, empty, step, lambda s: s["out"]), merged)
+
+
 def sections(docs: DataFrame, aliases: dict[str, list[str]] = L.SECTION_ALIASES, text: str = "text") -> DataFrame:
-    """(doc_id, section, section_ord, section_text): lines under the last heading before them; `references` is skipped."""
-    lines = docs.select("doc_id", F.posexplode(F.split(T.clean_text(F.col(text)), "\n")).alias("at", "line")).withColumn("line", T.strip("line"))
-    seen = lines.where("line <> ''").withColumn("heading", T.section_of(F.col("line"), aliases))
-    so_far = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = seen.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(so_far), F.lit("body"))).where("heading is null and section <> 'references'")
-    got = placed.groupBy("doc_id", "section").agg(
-        F.min("at").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("section_text")
-    )
-    order = Window.partitionBy("doc_id").orderBy(F.col("section") != "body", "first")
-    return got.select("doc_id", "section", (F.row_number().over(order) - 1).alias("section_ord"), "section_text")
+    """(doc_id, section, section_ord, section_text), built in the row: no text is shuffled."""
+    found = section_array(F.col(text), aliases)
+    return docs.select("doc_id", F.posexplode(found).alias("section_ord", "s")).select("doc_id", "s.section", "section_ord", "s.section_text")
 
 
 def summary_candidates(docs: DataFrame, aliases: dict[str, list[str]] = L.SECTION_ALIASES) -> DataFrame:
     """(doc_id, section, position, ord, sentence): sentences of the sections, citations stripped, fit for a summary."""
-    rows = sections(docs, aliases).select("doc_id", "section", "section_ord", F.posexplode(T.sentences(F.col("section_text"))).alias("position", "raw"))
-    fit = rows.withColumn("sentence", T.strip_citations(F.col("raw"))).where(~T.is_bad_for_summary(F.col("sentence")))
-    order = Window.partitionBy("doc_id").orderBy("section_ord", "position")
-    return fit.select("doc_id", "section", "position", (F.row_number().over(order) - 1).alias("ord"), "sentence")
+
+    def of_section(s: Column) -> Column:
+        rows = F.transform(
+            T.sentences(s["section_text"]), lambda x, i: F.struct(s["section"].alias("section"), i.alias("position"), T.strip_citations(x).alias("sentence"))
+        )
+        return F.filter(rows, lambda r: ~T.is_bad_for_summary(r["sentence"]))
+
+    found = F.flatten(F.transform(section_array(F.col("text"), aliases), of_section))
+    return docs.select("doc_id", F.posexplode(found).alias("ord", "c")).select("doc_id", "c.section", "c.position", "ord", "c.sentence")
 
 
-def role_evidence(candidates: DataFrame, roles: dict[str, list[str]] = L.ROLES, preferred: dict[str, list[str]] = L.ROLE_SECTIONS) -> DataFrame:
-    """The best candidate of each document and role: hits, preferred sections, early position."""
+def role_evidence(candidates: DataFrame, roles: dict[str, list[str]] = L.ROLES, preferred: dict[str, list[str]] = L.ROLE_SECTIONS, bonus: Column | None = None) -> DataFrame:
+    """The best candidate of each document and role: hits, preferred sections, early position, and a bonus if one is given."""
 
     def scored(role: str) -> Column:
         order = preferred.get(role, [])
         rank = F.coalesce(*[F.when(F.col("section") == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
         hits = T.count_terms(F.col("sentence"), roles[role])
         score = 2.0 * hits + 0.35 * F.greatest(F.lit(0), len(order) - rank) + F.greatest(F.lit(0.0), 0.25 - 0.03 * F.col("position"))
+        score = score if bonus is None else score + bonus
         return F.struct(F.lit(role).alias("role"), hits.alias("hits"), F.round(score, 6).alias("score"))
 
     rows = candidates.select("*", F.explode(F.array(*[scored(r) for r in roles])).alias("s")).where("s.hits > 0").select("doc_id", "section", "ord", "sentence", "s.role", "s.score")
