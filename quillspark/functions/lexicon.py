@@ -48,3 +48,44 @@ much must my myself neither never no nobody none nor not nothing now of off ofte
 own per perhaps please put rather re same see seem she should since so some such than that the their them then there these they this
 those through thus to together too under until up upon us very was we well were what when where whether which while who whole whose why
 will with within without would yet you your yours""".split()
+# Fixed values of answers and comparisons.
+QUERY_EXPANSION = {
+    "materials_system": ["material", "sample", "compound", "thin film", "heterostructure", "semiconductor", "ferroelectric", "oxide", "chalcogenide", "wafer"],
+    "method": [
+        "method", "fabrication", "synthesis", "deposition", "annealing", "lithography", "etching", "characterization", "measurement", "simulation", "calculation",
+        "SEM", "scanning electron microscopy", "TEM", "transmission electron microscopy", "XRD", "X-ray diffraction", "Raman", "AFM", "atomic force microscopy",
+    ],
+    "result": ["result", "show", "demonstrate", "observe", "increase", "decrease", "improve", "enhance", "performance", "stability", "efficiency", "switching"],
+    "limitation": ["limitation", "challenge", "however", "future work", "requires", "uncertain", "noise", "artifact", "scalability"],
+    "parameter": ["parameter", "temperature", "current", "voltage", "field", "thickness", "size", "dimension", "frequency", "value", "rate", "time"],
+    "general": ["study", "paper", "work", "method", "result", "material", "performance"],
+}
+ANSWER_TERMS = {
+    "materials_system": DOMAIN["materials_system"],
+    "method": DOMAIN["fabrication_or_synthesis"] + DOMAIN["characterization"],
+    "result": DOMAIN["results_or_performance"],
+    "limitation": DOMAIN["limitations_or_future_work"],
+    "parameter": ["temperature", "current", "voltage", "field", "thickness", "size", "dimension", "frequency", "parameter", "value", "rate", "time"],
+    "general": [],
+}
+CLAIMS = ["we show", "we demonstrate", "we find", "we observe", "the results", "this suggests", "indicating that", "therefore", "however"]
+DIMENSIONS = {
+    "Research focus": ["we study", "we investigate", "we report", "we present", "we propose", "this work", "this paper", "aim", "focus", "objective", "goal"],
+    "Material / system": DOMAIN["materials_system"] + ["sample", "compound", "material system", "device structure", "layered", "hybrid structure"],
+    "Fabrication / synthesis": DOMAIN["fabrication_or_synthesis"] + ["prepared", "fabricated", "transferred", "grown", "processed", "patterned"],
+    "Characterization / measurement": DOMAIN["characterization"] + ["measurement", "measured", "characterized", "spectroscopy", "diffraction", "imaging", "electrical measurement", "optical measurement"],
+    "Parameters / settings": [
+        "temperature", "current", "voltage", "field", "magnetic field", "electric field", "thickness", "width", "length", "diameter", "size", "dimension",
+        "frequency", "power", "pressure", "time", "rate", "dose", "concentration", "parameter", "setting", "condition",
+    ],
+    "Key results / performance": DOMAIN["results_or_performance"] + ["show", "shows", "demonstrate", "demonstrates", "observed", "revealed", "achieved", "performance", "response", "signal", "effect"],
+    "Limitations / future work": DOMAIN["limitations_or_future_work"] + ["drawback", "weakness", "future direction", "further study", "needs", "need to", "still", "remain"],
+}
+CONDITIONS = ["under", "at", "with", "using", "condition", "parameter", "set to", "fixed", "varied"]
+OUTCOMES = ["show", "shows", "demonstrate", "demonstrates", "indicate", "suggest", "therefore", "as a result"]
+UNITS = ["nm", "μm", "um", "mm", "cm", "m", "k", "K", "°C", "c", "T", "mT", "Oe", "A", "mA", "uA", "μA", "V", "mV", "eV", "meV", "Hz", "kHz", "MHz", "GHz", "s", "ms", "ns", "min", "h", "Pa", "bar", "rpm", "%", "wt%", "at%"]
+FIGURE_PURPOSES = {
+    "structure": ["schematic", "diagram", "示意图"],
+    "relationship": ["versus", "comparison", "compare", "dependence", "as a function"],
+    "image": ["spectrum", "spectra", "micrograph", "mapping", "map", "image"],
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
 from quillspark.operators import documents as O
+from quillspark.operators import evidence as E
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +134,48 @@ def target_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id = 7").select("doc_id", "n_chars")
 
 
+def summaries(spark, sf_dir):
+    return E.summaries(O.summary_candidates(_documents(spark, sf_dir), _ALIASES))
+
+
+def answers(spark, sf_dir):
+    asked = spark.createDataFrame(QUESTIONS, "query_id int, query string")
+    return E.answers(O.passage_rows(_documents(spark, sf_dir)), asked)
+
+
+def comparison(spark, sf_dir):
+    return E.comparison(_documents(spark, sf_dir), L.COMMON)
+
+
+def comparison_cells(spark, sf_dir):
+    return E.comparison_cells(E.comparison(_documents(spark, sf_dir)))
+
+
+def query_expansion(spark, sf_dir):
+    return E.expanded(spark.createDataFrame(QUESTIONS, "query_id int, query string"))
+
+
+def corpus_metrics(spark, sf_dir):
+    return E.corpus_metrics(_documents(spark, sf_dir))
+
+
+def figure_purposes(spark, sf_dir):
+    """The purpose that a text would have as a caption."""
+    return _documents(spark, sf_dir).select("doc_id", E.figure_purpose(F.col("text"), F.lit("")).alias("purpose"))
+
+
+def recent_questions(spark, sf_dir):
+    """The last questions of each source, as if every document were one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("workspace"), F.col("doc_id").alias("asked_ord"))
+    return E.recent_questions(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         clean_text_stats, word_counts, sentences, sentence_quality, passages, term_hits, domain_hints, sections, summary_candidates, role_evidence,
         research_brief, keywords, keyword_overlap, retrieve_multi, evidence_pages, question_types, citation_strip, heading_classes, unique_names,
-        upload_limits, preview, target_documents,
+        upload_limits, preview, target_documents, summaries, answers, comparison, comparison_cells, query_expansion, corpus_metrics, figure_purposes,
+        recent_questions,
     ]
     return {f.__name__: f for f in own}
 
@@ -182,5 +220,13 @@ def oracle_sql() -> dict[str, str]:
         "FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)",
         "upload_limits": "SELECT source AS workspace, CASE WHEN count(*) > 49 THEN 'too_many_files' WHEN sum(n_chars) > 100000 THEN 'total_size_exceeded' END AS violation FROM documents GROUP BY source",
         "preview": "SELECT doc_id, length(p) AS preview_chars, sha256(p) AS preview_sha256 FROM (SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '...' ELSE text END AS p FROM documents)",
+        "query_expansion": f"SELECT query_id, question_type, query || ' ' || more AS query FROM (VALUES {_values([(*q, t) for q, t in zip(QUESTIONS, EXPECTED_TYPES, strict=True)])}) "
+        f"v(query_id, query, question_type) JOIN (VALUES {_values([(t, ' '.join(ws)) for t, ws in L.QUERY_EXPANSION.items()])}) e(kind, more) ON kind = question_type",
+        "corpus_metrics": r"SELECT count(*) AS n_docs, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')))::BIGINT AS n_words, "
+        "CASE WHEN count(*) > 1 THEN 'multi' ELSE 'single' END AS mode FROM documents",
+        "figure_purposes": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN NULL "
+        + " ".join(f"WHEN regexp_matches(lower(text || ' ' || {clean}), '{'|'.join(ws)}') THEN '{p}'" for p, ws in L.FIGURE_PURPOSES.items())
+        + " ELSE 'provisional' END AS purpose FROM documents",
+        "recent_questions": "SELECT source AS workspace, doc_id AS asked_ord FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 8",
         "target_documents": "SELECT doc_id, n_chars FROM documents WHERE doc_id = 7",
     }
