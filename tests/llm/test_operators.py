@@ -129,3 +129,17 @@ def test_fingerprints(spark):
         nxt, cut = texts[(i - 1) % 7], len(t) // 3
         assert got[i].edited == t[: len(t) - cut] + nxt[:cut]
         assert got[i].near_edited > got[i].near_next
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_suffixes_and_prefixes(seed):
+    rng = random.Random(seed)
+    data = bytes(rng.randrange(1, 2 + seed % 5) for _ in range((1, 9, 60, 700)[seed % 4]))
+    data = data + b"\xff" + data[len(data) // 3 :] + b"\xff" + data + b"\0"
+    got = np.concatenate(list(suffixes.suffix_blocks(np.frombuffer(data, np.uint8), 200)))
+    want = sorted(range(len(data)), key=lambda i: data[i:])
+    assert got["pos"].tolist() == want
+    common = [next((m for m in range(200) if max(a, b) + m >= len(data) or data[a + m] != data[b + m]), 200) for a, b in zip(want, want[1:], strict=False)]
+    assert got["lcp"].tolist()[1:] == common
+    names = [rng.randrange(1 + seed) for _ in range(50 * seed + 1)]
+    assert suffixes._doubled(np.array(names)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
