@@ -11,6 +11,7 @@ from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
 from quillspark.operators import documents as O
 from quillspark.operators import evidence as E
+from quillspark.operators import reports as R
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +152,12 @@ def comparison_cells(spark, sf_dir):
     return E.comparison_cells(E.comparison(_documents(spark, sf_dir)))
 
 
+def document_reports(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    said = E.summaries(O.summary_candidates(docs, _ALIASES))
+    return R.document_parts(docs.withColumn("name", F.col("source")), said, O.keywords(docs), O.domain_hints(docs, L.COMMON))
+
+
 def query_expansion(spark, sf_dir):
     return E.expanded(spark.createDataFrame(QUESTIONS, "query_id int, query string"))
 
@@ -175,7 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         clean_text_stats, word_counts, sentences, sentence_quality, passages, term_hits, domain_hints, sections, summary_candidates, role_evidence,
         research_brief, keywords, keyword_overlap, retrieve_multi, evidence_pages, question_types, citation_strip, heading_classes, unique_names,
         upload_limits, preview, target_documents, summaries, answers, comparison, comparison_cells, query_expansion, corpus_metrics, figure_purposes,
-        recent_questions,
+        recent_questions, document_reports,
     ]
     return {f.__name__: f for f in own}
 
