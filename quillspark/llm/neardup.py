@@ -16,6 +16,7 @@ from quillspark.llm.common import gram_hashes, mix, rows_per_batch, settle, word
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
 #: Document frequencies live in a sketch of ROWS_DF rows of CELLS counters; idf stops growing below FLOOR of the documents.
 ROWS_DF, CELLS, CHUNK, FLOOR = 2, 1 << 18, 1 << 11, 0.02
+BLOCK = 256  # texts of a bucket that one product compares
 _TABLE = 1 << 14  # random triples of each sample, picked by a hash of the shingle
 
 
@@ -191,25 +192,102 @@ def _banded(docs: DataFrame, shared) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
-    """(node, center, near) of candidate pairs, by the weighted Jaccard similarity of whole texts."""
+def _clusters(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, similarity: float) -> np.ndarray:
+    """For each of some texts (distinct shingles, their counts, their idf) the first text linked with it, directly or by others.
+
+    Every pair of texts of different labels is verified. The weighted Jaccard similarity of counts times idf is that of sets
+    of (shingle, number of its occurrence), so all common weights come from one product of 0/1 rows, a few columns at a time.
+    """
+    m = len(vectors)
+    owner = np.repeat(np.arange(m), [len(h) for h, _, _ in vectors])
+    h = np.concatenate([h for h, _, _ in vectors])
+    tf = np.concatenate([tf for _, tf, _ in vectors])
+    idf = np.concatenate([i for _, _, i in vectors])
+    total = np.bincount(owner, tf * idf, m)
+    more = np.flatnonzero(tf > 1)
+    nth = np.arange(tf[more].sum()) - np.repeat(np.cumsum(tf[more]) - tf[more], tf[more])
+    again = np.repeat(more, tf[more])[nth > 0]
+    with np.errstate(over="ignore"):
+        h = np.concatenate([h, mix(h[again] + mix(nth[nth > 0].astype(np.uint64)))])
+    owner, idf = np.concatenate([owner, owner[again]]), np.concatenate([idf, idf[again]])
+    order = np.argsort(h, kind="stable")
+    h, owner, idf = h[order], owner[order], idf[order]
+    start = np.append(True, h[1:] != h[:-1])
+    col = np.cumsum(start) - 1
+    shared = np.bincount(col)[col] > 1  # what one text alone holds is common to no pair
+    owner, idf, col = owner[shared], idf[shared], col[shared]
+    col = np.unique(col, return_inverse=True)[1]
+    common = np.zeros((m, m))
+    width = max(64, (1 << 21) // m)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        x, y = np.searchsorted(col, [lo, lo + width])
+        k = int(col[y - 1]) - lo + 1
+        ones, weight = np.zeros((m, k)), np.zeros(k)
+        ones[owner[x:y], col[x:y] - lo] = 1
+        weight[col[x:y] - lo] = idf[x:y]
+        common += (ones * weight) @ ones.T
+    near = common >= (similarity - 1e-12) * (total[:, None] + total[None, :] - common)
+    near |= labels[:, None] == labels[None, :]
+    first = np.arange(m)
+    while True:
+        new = np.where(near, first[None, :], m).min(1)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
+def _linked(groups: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
+    """(node, center) of texts that links within a group connect; groups has rows (g, node, label), some hundreds a group.
+
+    Texts of one label are known to be connected; all others of a group are compared, each with each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        held: dict[int, tuple] = {}
-        for batch in rows_per_batch(batches):
-            near = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) > 256:
-                    held.clear()
-                if b not in held:
-                    held[b] = shared.value.vector(y, memo)
-                near.append(weighted_jaccard(shared.value.vector(x, memo), held[b]) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["node", "center", "near"])
 
-    own = texts.select("node", F.col("text").alias("x"))
-    other = texts.select(F.col("node").alias("center"), F.col("text").alias("y"))
-    return pairs.join(own, "node").join(other, "center").select("node", "center", "x", "y").mapInArrow(run, "node long, center long, near boolean")
+        def links(nodes: list[int], labels: list[int], found: list) -> pa.RecordBatch:
+            first = _clusters(found, np.array(labels), similarity) if len(nodes) > 1 else np.zeros(1, np.int64)
+            own = [i for i in range(len(nodes)) if first[i] != i]
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.int64()), pa.array([nodes[int(first[i])] for i in own], pa.int64())], ["node", "center"])
+
+        held, nodes, labels, found = None, [], [], []
+        for batch in rows_per_batch(batches):
+            for g, node, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != held:
+                    if nodes:
+                        yield links(nodes, labels, found)
+                    held, nodes, labels, found = g, [], [], []
+                elif node == nodes[-1]:  # a repeated row of its doc_id
+                    continue
+                h, tf = np.unique(shingles(text, memo), return_counts=True)
+                nodes.append(node)
+                labels.append(label)
+                found.append((h, tf, shared.value.idf(h)))
+        if nodes:
+            yield links(nodes, labels, found)
+
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = groups.join(texts, "node").select("g", "node", "label", "text").repartition(n, "g").sortWithinPartitions("g", "node")
+    return rows.mapInArrow(run, "node long, center long").distinct()
+
+
+def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups (g, node, label) in which all pairs of different labels of buckets above BLOCK texts meet.
+
+    The texts of a bucket's commonest label stand in blocks of their own, which meet the blocks of the others only.
+    """
+    named = settle(members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")))
+    counts = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), (F.sum("n") - F.max("n")).alias("n_rest")).where("n_rest > 0")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    placed = named.join(tops.select("band", "key", "top", blocks("n_top").alias("t"), blocks("n_rest").alias("r")), ["band", "key"])
+    is_top = F.col("label") == F.col("top")
+    at = F.pmod(F.xxhash64("node"), F.when(is_top, F.col("t")).otherwise(F.col("r"))).cast("int")
+    placed = placed.withColumn("is_top", is_top).withColumn("at", F.when(is_top, at).otherwise(F.col("t") + at))
+    others = F.explode(F.sequence(F.when(F.col("is_top"), F.col("t")).otherwise(F.lit(0)), F.col("t") + F.col("r") - 1))
+    met = placed.select("band", "key", "node", "label", "at", others.alias("other"))
+    return met.select(F.xxhash64("band", "key", F.least("at", "other"), F.greatest("at", "other")).alias("g"), "node", "label")
 
 
 def components(links: DataFrame, a: str = "node", b: str = "center") -> DataFrame:
@@ -237,9 +315,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Documents of equal words are one text. Texts whose five-word TF-IDF shingles have a weighted Jaccard similarity of
     at least `similarity` are linked, and a group is a connected component of links. A text of fewer than five words
-    is one shingle. Null and wordless texts are groups of their own. Within a bucket of equal band keys texts are
-    compared with a few centers, not with each other; those that no center is near go on to the next round with other
-    centers until none is left, so the pairs stay linear in the bucket's size. Repeated rows of a doc_id are copies;
+    is one shingle. Null and wordless texts are groups of their own. Within a bucket of equal band keys every pair of
+    texts is verified unless other links connect it: first within blocks of BLOCK texts, then between blocks, where only
+    pairs of different components meet. Repeated rows of a doc_id are copies;
     a null doc_id is never a group's name unless all are null. Extra columns are ignored; no rows: no rows.
     """
     spark = docs.sparkSession
@@ -248,38 +326,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     freq = _frequencies(scan, keys.count())
     shared = spark.sparkContext.broadcast(freq)
     banded = settle(_banded(docs, shared).dropDuplicates(["node"]))
-    rank = F.xxhash64("node")
     exploded = banded.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = exploded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    left = settle(exploded.join(sizes, ["band", "key"]))  # members of buckets whose pairs are not settled yet
+    # Buckets of the same texts, known by two hashes of the set, are one.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sizes = exploded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
+    sizes = sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*", "n")
+    members = settle(exploded.join(sizes, ["band", "key"]))  # texts of buckets, with the bucket's size
     # Whole texts of the candidates, gathered once: a group's text is that of its documents' first.
-    nodes = left.select("node").distinct()
+    nodes = members.select("node").distinct()
     firsts = nodes.join(keys.groupBy("node").agg(F.min("doc_id").alias("rep")), "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = settle(firsts.hint("shuffle_hash").join(rows, firsts["rep"].eqNullSafe(rows["rep"])).select("node", "text").transform(_own_text))
-    links = tested = None
-    spread = 1
-    while True:
-        sub = F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(spread))
-        centers = left.groupBy("band", "key", sub.alias("sub")).agg(F.min_by("node", rank).alias("center")).select("band", "key", "center")
-        met = settle(left.join(centers, ["band", "key"]).where("node <> center"))
-        pairs = met.select("node", "center").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "center"], "left_anti")
-        result = settle(_verified(pairs, texts, shared, similarity).distinct())
-        tested = result if tested is None else tested.unionByName(result)
-        near = tested.where("near").select("node", "center").distinct()
-        found = result.where("near").select("node", "center")
-        links = found if links is None else links.unionByName(found)
-        # A member is settled in a bucket if it is near a center there, or was one; the rest meet other centers.
-        done = met.join(near, ["node", "center"]).select("band", "key", "node").union(centers.select("band", "key", F.col("center").alias("node"))).distinct()
-        rest = left.join(done, ["band", "key", "node"], "left_anti")
-        open_ = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-        left = settle(rest.join(open_, ["band", "key"]))
-        if left.isEmpty():
-            break
-        spread = min(2 * spread, 32)
-    named = keys.join(components(links), "node", "left").withColumn("class", F.coalesce("label", "node"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(BLOCK)))
+    links = settle(_linked(members.select(F.xxhash64("band", "key", block).alias("g"), "node", F.col("node").alias("label")), texts, shared, similarity))
+    labels = components(links)
+    large = members.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        links = links.unionByName(settle(_linked(_open_blocks(large, labels), texts, shared, similarity)))
+        labels = components(links)
+    named = keys.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Wordless documents have no node and stay alone; groups are pre-aggregated before they meet.
     classes = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "class", "left").select(
