@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from quillspark.llm.common import mix, rows_per_batch, words
 
 #: Features are 32-bit word hashes; training reads about SAMPLE_ROWS labelled rows at most.
 SAMPLE_ROWS, GRADES = 8000, 3
+COPY = 0.8  # word-set Jaccard similarity from which a labelled row is a copy
 
 
 def _features(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
@@ -125,22 +127,29 @@ def grade(rows: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarra
     return out
 
 
-def distinct_rows(rows: list[np.ndarray]) -> list[int]:
-    """Rows without those that look like copies of an earlier one (two of four least permuted features agree with it).
+def distinct_rows(rows: list[np.ndarray], similarity: float = COPY) -> list[int]:
+    """Rows with words, without those whose words have a Jaccard similarity of `similarity` or more with an earlier kept row's.
 
-    One copied text would otherwise lend its words the evidence of many.
+    One copied text would otherwise lend its words the evidence of many. Exact: words are put in order of rarity, and two
+    rows that similar share one of their first n - ceil(similarity * n) + 1 (of n words), by which kept rows are found.
     """
-    seen: set[tuple] = set()
+    used, df = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_counts=True)
+    places: dict[int, list[int]] = {}  # kept rows by each of their rarest words
     out = []
     for i, r in enumerate(rows):
-        if not len(r):
+        n = len(r)
+        if not n:
             continue
-        x = r.astype(np.uint64)
-        least = [int(r[np.argmin(mix(x + np.uint64(k << 40)))]) for k in range(1, 5)]
-        pairs = {(a, least[a], b, least[b]) for a in range(4) for b in range(a)}
-        if not pairs & seen:
+        rare = r[np.argsort(df[np.searchsorted(used, r)], kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
+        met = {j for w in rare for j in places.get(w, ()) if min(n, len(rows[j])) >= similarity * max(n, len(rows[j])) - 1e-9}
+        for j in met:
+            both = len(np.intersect1d(r, rows[j], assume_unique=True))
+            if both >= similarity * (n + len(rows[j]) - both) - 1e-9:
+                break
+        else:
             out.append(i)
-        seen |= pairs
+            for w in rare:
+                places.setdefault(w, []).append(i)
     return out
 
 

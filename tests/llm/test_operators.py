@@ -128,6 +128,21 @@ def test_drifting_chains(spark, monkeypatch, block):
     assert out == want
 
 
+def test_labelled_copies():
+    # Ordinary rows share their common words; only those with a word-set Jaccard similarity of 0.8 to a kept row go.
+    rng = np.random.default_rng(5)
+    rows = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 120)), 5000)).astype(np.uint32) for _ in range(300)]
+    rows += [np.unique(np.append(r[: len(r) - len(r) // 15], np.uint32(9000 + i))) for i, r in enumerate(rows[:100])] + [np.zeros(0, np.uint32)]
+    want = []
+    for i, r in enumerate(rows):
+        likeness = [len(np.intersect1d(r, rows[j])) / len(np.union1d(r, rows[j])) for j in want]
+        if len(r) and max(likeness, default=0) >= 0.8:
+            continue
+        want += [i] if len(r) else []
+    assert 250 < len(want) < 400
+    assert toxicity.distinct_rows(rows) == want
+
+
 def test_packing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 1025, 3000)
