@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, langid, lines, neardup, packing
-from quillspark.llm.common import same_schema, shared_dir
+from quillspark.llm.common import same_schema, settle, shared_dir
 from quillspark.llm.queries import tokenizer_path
 
 
@@ -25,9 +25,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near-duplicates."""
-    groups = neardup.near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return same_schema(docs.join(groups, docs["doc_id"] == groups["kept_id"], "left_semi"), docs)
+    """One row of each group of near-duplicates: of the least doc_id, null being the greatest, and the first of its rows.
+
+    Rows are told apart by a number of their own, so null and repeated doc_ids lose and keep no other row.
+    """
+    rows = settle(docs.withColumn("row_number_", F.monotonically_increasing_id()))
+    classes = neardup.near_duplicates(rows.select(F.col("row_number_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_number_"), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_number_")
+    kept = rows.select("row_number_", "doc_id").join(classes, "row_number_").groupBy("class_id").agg(F.min_by("row_number_", order).alias("row_number_"))
+    return same_schema(rows.join(kept, "row_number_", "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm import archives, chat, decontam, fingerprint, langid, lines, neardup, packing, repeats, suffixes, toxicity
 
 DOCS = "doc_id long, text string, lang string, row string, u long, node long"
@@ -128,6 +129,16 @@ def test_drifting_chains(spark, monkeypatch, block):
     assert out == want
 
 
+def test_near_dedup_stage_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(50)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, c), (5, d), (7, d), (3, c), (None, d), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1, 2) for i, t in rows], DOCS)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.schema == docs.schema
+    want = [(None, a), (None, b), (3, c), (5, d), (None, None)]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
+
+
 def test_labelled_copies():
     # Ordinary rows share their common words; only those with a word-set Jaccard similarity of 0.8 to a kept row go.
     rng = np.random.default_rng(5)
