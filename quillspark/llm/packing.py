@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,54 +16,74 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import rows_per_batch, settle
 
 CAPACITY, END_ID, GROUP_ROWS, ROUNDS = 1024, 2, 20_000, 3
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$")
+_PIECES = re.compile(r"\s*\S+|\s+\Z")
 
 
 class Encoder:
-    """Token ids by the tokenizers library; distinct pieces between single white space are encoded once.
+    """Token ids by the tokenizers library, as encode(text, add_special_tokens=False) gives them; distinct pieces are encoded once.
 
-    The vocabulary's splitter never joins across the start of white space, so a text whose white space stands alone is
-    the concatenation of its pieces; any other text is encoded whole.
+    The vocabulary's splitter never joins across the start of a run of white space, so a text is the concatenation of
+    pieces that begin with one. A text that names an added token, or has separators that only Python calls white
+    space, is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.unsafe = re.compile("|".join([*added, "[\x1c-\x1f]"]))
         # Two generations of pieces: a full one becomes the old one, from which pieces that are met again come back.
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
+        self.marks = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _IRREGULAR.search(text):
-            return np.frombuffer(self._whole([text])[0], np.uint32)
-        pieces = ("\0" + text.replace("\n", " \n")).split(" ")
-        pieces = [pieces[0], *[p if p[0] == "\n" else " " + p for p in pieces[1:]]]
+    def _known(self, keys: list[str], texts: list[str]) -> bytes:
+        """The ids of texts one after the other; a text's ids are kept under its key."""
         try:
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
+            return b"".join(map(self.memo.__getitem__, keys))
         except KeyError:
             if len(self.memo) > self.limit:
                 self.old, self.memo = self.memo, {}
-            new = []
-            for p in dict.fromkeys(pieces):
-                if p not in self.memo:
-                    known = self.old.get(p)
-                    if known is None:
-                        new.append(p)
+            new, ended = {}, {}
+            for k, t in zip(keys, texts, strict=True):
+                if k not in self.memo:
+                    if (ids := self.old.get(k)) is not None:
+                        self.memo[k] = ids
+                    elif t[-1] in self.marks and t[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                        ended[k] = k[:-1], t[-1]
+                        if k[:-1] not in self.memo:
+                            new[k[:-1]] = t[:-1]
                     else:
-                        self.memo[p] = known
-            self.memo.update(zip(new, self._whole([p[1:] if p[0] == "\0" else p for p in new]), strict=True))
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), np.uint32)
+                        new[k] = t
+            self.memo.update(zip(new, self._whole(list(new.values())), strict=True))
+            self.memo.update((k, self.memo[body] + self.marks[mark]) for k, (body, mark) in ended.items())
+            return b"".join(map(self.memo.__getitem__, keys))
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        # The usual text has single blanks and line ends alone: a key is a piece without its blank, or with its line end.
+        keys = text.replace("\n", " \n").split(" ")
+        first = keys[0]
+        keys[0] = " " + first
+        try:
+            return np.frombuffer(b"".join(map(self.memo.__getitem__, keys)), np.uint32)
+        except KeyError:
+            pass
+        if self.unsafe.search(text):
+            return np.frombuffer(self._whole([text])[0], np.uint32)
+        if all(k and not k[-1].isspace() for k in keys[1:]) and first and not first[-1].isspace():
+            return np.frombuffer(self._known(keys, [first, *(k if k[0] == "\n" else " " + k for k in keys[1:])]), np.uint32)
+        pieces = _PIECES.findall(text)
+        return np.frombuffer(self._known(["  " + p for p in pieces], pieces), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of a Python worker: pieces stay known from task to task
@@ -78,7 +99,9 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """Pieces of each document's ids and end_id: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     Null or empty text: end_id alone. A document of more than `capacity` ids is cut into pieces of `capacity`, of which
-    the first may be shorter. Rows that repeat a doc_id give pieces each. tokenizer: path of a tokenizers file.
+    the first may be shorter. Names of added tokens in a text are those tokens, as the library's encode has it. Rows that
+    repeat a doc_id, also a null one, give pieces each. Other columns are not read; an empty table gives no pieces.
+    tokenizer: path of a tokenizers file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +208,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, grou
     functions certify its bin count. Then the emptiest bins of partitions above their bound, and one of each other,
     exchange their pieces over fewer partitions, which pack again (an earlier packing stands unless bins are saved).
     This ends when nothing is exchanged, one partition was left, the total meets the bound of all lengths, or after
-    `rounds` exchanges. No task gets more than about group_rows pieces. Empty pieces table: no rows.
+    `rounds` exchanges. No task gets more than about group_rows pieces. Rows that repeat a piece are packed each; within
+    a sequence longer pieces come first, then by doc_id (null first) and piece. Other columns stay, sequence_id and
+    offset are replaced if there. Empty pieces table: no rows.
     """
-    cols = [F.col(c) for c in pieces.columns]
-    rows = settle(pieces.select(*cols, F.lit(-1).cast("long").alias("bin"), F.monotonically_increasing_id().alias("row_id")))
+    # Inside, the columns of pieces go by numbers, so that none of them clashes with a working column.
+    place = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
+    own = [F.col(f"`{c}`").alias(at) for c, at in place.items()]
+    rows = settle(pieces.select(*own, F.col("length").alias("length"), F.lit(-1).cast("long").alias("bin"), F.monotonically_increasing_id().alias("row_id")))
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     n, least = int(counts.sum()), lower_bound(counts, capacity)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    fields = ", ".join(f"{place[f.name]} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", length long"
     done, groups, settled = None, max(1, -(-n // group_rows)), 0
     for k in range(rounds + 1):
         here = groups
@@ -210,8 +237,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, grou
         rows, groups = out.where("loose"), max(1, min(here // 2, -(-loose[0] // group_rows)))
     from pyspark.sql import Window
 
-    before = Window.partitionBy("bin").orderBy(F.desc("length"), "doc_id", "piece", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return done.select(*cols, F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    before = Window.partitionBy("bin").orderBy(F.desc("length"), place["doc_id"], place["piece"], "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [F.col(at).alias(c) for c, at in place.items() if c not in ("sequence_id", "offset")]
+    return done.select(*kept, F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
 
 
 def sequences(pieces_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
