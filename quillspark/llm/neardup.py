@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import gram_hashes, mix, rows_per_batch, settle, word_hashes, words
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
-#: Document frequencies live in a sketch of ROWS_DF rows of CELLS counters; idf stops growing below FLOOR of the documents.
+#: Document frequencies live in a sketch of ROWS_DF rows of CELLS counters; idf stops growing below FLOOR of the documents
+#: (more where documents have over CELLS * FLOOR / 4 distinct shingles on average: the sketch tells no smaller shares).
 ROWS_DF, CELLS, CHUNK, FLOOR = 2, 1 << 18, 1 << 11, 0.02
 BLOCK = 256  # texts of a bucket that one product compares
 _TABLE = 1 << 14  # random triples of each sample, picked by a hash of the shingle
@@ -30,7 +31,7 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Frequencies:
-    """Shares of the documents that hold a shingle, from the least of its counters less their mean load."""
+    """Smoothed shares (1 + df) / (1 + n) of the documents that hold a shingle, df being its least counter less the mean load."""
 
     shares: np.ndarray  # [ROWS_DF, CELLS]
     floor: float
@@ -38,16 +39,16 @@ class Frequencies:
     @classmethod
     def of(cls, counts: np.ndarray, n_docs: int) -> Frequencies:
         load = counts.mean(1, keepdims=True)
-        n = max(n_docs, 1)
-        return cls(np.maximum(counts - load, 0).astype(np.float32) / n, max(FLOOR, 4 * float(load.max()) / n) if n_docs > 64 else 1.0)
+        shares = (1 + np.maximum(counts - np.floor(load), 0)).astype(np.float32) / (1 + n_docs)
+        return cls(shares, min(max(FLOOR, 4 * float(load.max()) / (1 + n_docs)), 1.0))
 
     @property
     def top(self) -> float:
-        return 1 + float(np.log(1 / min(self.floor, 1.0)))
+        return 1 + float(np.log(1 / self.floor))
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         share = np.minimum.reduce([self.shares[r][c] for r, c in enumerate(_cells(h))])
-        return 1 + np.log(1 / np.clip(share, min(self.floor, 1.0), 1.0))
+        return 1 + np.log(1 / np.clip(share, self.floor, 1.0))
 
     def vector(self, text: str | None, memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in order of hash, and their weights tf * idf."""
@@ -125,30 +126,39 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / total) if total else 0.0
 
 
+def _node(found: list[bytes]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join(found))
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass: a row (doc_id, node) for each document, node a hash of its words (null without words), and each task's sketch chunks."""
+    """One pass: a row (doc_id, node, t) for each document, and each task's sketch chunks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    node is a 128-bit hash of the words (null without words), t Spark's 64-bit hash of the text as it stands.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         counts = np.zeros((ROWS_DF, CELLS), np.uint32)
-        names = ["doc_id", "node", "chunk", "counts"]
+        names = ["doc_id", "node", "t", "chunk", "counts"]
         for batch in rows_per_batch(batches):
             nodes, grams = [], [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 found = words(text)
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63) if found else None)
+                nodes.append(_node(found) if found else None)
                 grams.append(np.unique(gram_hashes(word_hashes(found, memo), SHINGLE)))
             for r, c in enumerate(_cells(np.concatenate(grams))):
                 counts[r] += np.bincount(c, minlength=CELLS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), batch.column(2), pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())], names)
         parts = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(1))
         blobs = [zlib.compress(parts[i].tobytes(), 1) for i in used]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], names)
+        none = [pa.nulls(len(used), kind) for kind in (pa.int64(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, chunk int, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, node binary, t long, chunk int, counts binary")
 
 
 def _frequencies(scan: DataFrame, n_docs: int) -> Frequencies:
@@ -174,8 +184,6 @@ def _banded(docs: DataFrame, shared) -> DataFrame:
     """(node, bands): the band keys of each document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         memo: dict[bytes, int] = {}
         freq = shared.value
         sampler = Sampler(freq.top)
@@ -185,11 +193,11 @@ def _banded(docs: DataFrame, shared) -> DataFrame:
                 found = words(text)
                 if found:
                     h, tf = np.unique(gram_hashes(word_hashes(found, memo), SHINGLE), return_counts=True)
-                    nodes.append(xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63))
+                    nodes.append(_node(found))
                     bands.append(sampler.bands(h, tf * freq.idf(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
-    return docs.select("text").mapInArrow(run, "node long, bands array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, bands array<long>")
 
 
 def _clusters(vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, similarity: float) -> np.ndarray:
@@ -246,10 +254,11 @@ def _linked(groups: DataFrame, texts: DataFrame, shared, similarity: float) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
 
-        def links(nodes: list[int], labels: list[int], found: list) -> pa.RecordBatch:
-            first = _clusters(found, np.array(labels), similarity) if len(nodes) > 1 else np.zeros(1, np.int64)
+        def links(nodes: list[bytes], labels: list[bytes], found: list) -> pa.RecordBatch:
+            of = {x: i for i, x in enumerate(labels)}
+            first = _clusters(found, np.array([of[x] for x in labels]), similarity) if len(nodes) > 1 else np.zeros(1, np.int64)
             own = [i for i in range(len(nodes)) if first[i] != i]
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.int64()), pa.array([nodes[int(first[i])] for i in own], pa.int64())], ["node", "center"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[int(first[i])] for i in own], pa.binary())], ["node", "center"])
 
         held, nodes, labels, found = None, [], [], []
         for batch in rows_per_batch(batches):
@@ -269,7 +278,7 @@ def _linked(groups: DataFrame, texts: DataFrame, shared, similarity: float) -> D
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = groups.join(texts, "node").select("g", "node", "label", "text").repartition(n, "g").sortWithinPartitions("g", "node")
-    return rows.mapInArrow(run, "node long, center long").distinct()
+    return rows.mapInArrow(run, "node binary, center binary").distinct()
 
 
 def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -322,7 +331,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     spark = docs.sparkSession
     scan = settle(_scan(docs))
-    keys = scan.where("chunk is null").select("doc_id", "node")
+    keys = scan.where("chunk is null").select("doc_id", "node", "t")
     freq = _frequencies(scan, keys.count())
     shared = spark.sparkContext.broadcast(freq)
     banded = settle(_banded(docs, shared).dropDuplicates(["node"]))
@@ -334,9 +343,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = settle(exploded.join(sizes, ["band", "key"]))  # texts of buckets, with the bucket's size
     # Whole texts of the candidates, gathered once: a group's text is that of its documents' first.
     nodes = members.select("node").distinct()
-    firsts = nodes.join(keys.groupBy("node").agg(F.min("doc_id").alias("rep")), "node")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    texts = settle(firsts.hint("shuffle_hash").join(rows, firsts["rep"].eqNullSafe(rows["rep"])).select("node", "text").transform(_own_text))
+    firsts = nodes.join(keys.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("rep")), "node").select("node", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"), "text")
+    texts = settle(firsts.hint("shuffle_hash").join(rows, (F.col("t") == F.col("own")) & F.col("rep").eqNullSafe(F.col("id"))).select("node", "text"))
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(BLOCK)))
     links = settle(_linked(members.select(F.xxhash64("band", "key", block).alias("g"), "node", F.col("node").alias("label")), texts, shared, similarity))
     labels = components(links)
@@ -344,23 +353,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if not large.isEmpty():
         links = links.unionByName(settle(_linked(_open_blocks(large, labels), texts, shared, similarity)))
         labels = components(links)
-    named = keys.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    named = keys.select("doc_id", "node").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Wordless documents have no node and stay alone; groups are pre-aggregated before they meet.
     classes = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "class", "left").select(
         "doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
-
-
-def _own_text(rows: DataFrame) -> DataFrame:
-    """Rows whose text is their node's: rows of one doc_id may differ in text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for part in rows_per_batch(iter([batch])):
-                same = [xxhash.xxh3_64_intdigest(b" ".join(words(t))) - (1 << 63) == n for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield part.filter(pa.array(same, pa.bool_()))
-
-    return rows.mapInArrow(run, "node long, text string")

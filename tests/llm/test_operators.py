@@ -89,46 +89,6 @@ def test_repeats(spark):
         assert bytes(r.kept) == bytes(x for i, x in enumerate(b) if i not in gone), r.doc_id
 
 
-def test_near_duplicates(spark):
-    rng = random.Random(7)
-    base = [[f"w{rng.randint(0, 500)}" for _ in range(300)] for _ in range(3)]
-    near = list(base[0])
-    near[150] = "other"
-    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, [" ".join(x) for x in (*base, near, base[1])] + [None, ""])).collect()}
-    assert out == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 5, 6: 6}
-
-
-def brute_groups(texts, similarity=neardup.SIMILARITY):
-    """The least index of each text's group, by all pairs; up to 64 texts weigh every shingle alike."""
-    assert len(texts) <= 64
-    vectors = [np.unique(neardup.shingles(t, {}), return_counts=True) for t in texts]
-    group = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if neardup.weighted_jaccard(vectors[i], vectors[j]) >= similarity and group[i] != group[j]:
-                lo, hi = sorted((group[i], group[j]))
-                group = [lo if g == hi else g for g in group]
-    return dict(enumerate(group))
-
-
-@pytest.mark.parametrize("block", [256, 4])
-def test_drifting_chains(spark, monkeypatch, block):
-    # Each version is near the one before it (about 0.88) and not the one before that (about 0.78).
-    monkeypatch.setattr(neardup, "BLOCK", block)
-    rng = random.Random(3)
-    texts = []
-    for chain in range(2):
-        text = [f"c{chain}w{i}" for i in range(400)]
-        for version in range(25):
-            texts.append(" ".join(text))
-            for at in rng.sample(range(0, 400, 10), 5):
-                text[at] = f"c{chain}v{version}at{at}"
-    want = brute_groups(texts)
-    assert want[24] == 0 and want[49] == 25
-    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
-    assert out == want
-
-
 def test_near_dedup_stage_of_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(50)) for k in "abcd")
     rows = [(None, a), (None, b), (None, a), (5, c), (5, c), (5, d), (7, d), (3, c), (None, d), (None, None)]
