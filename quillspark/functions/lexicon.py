@@ -1,5 +1,7 @@
 """Default lexicons. Terms and their order decide results; every operator takes its own instead."""
 
+from pathlib import Path
+
 SECTION_ALIASES = {
     "abstract": ["abstract"],
     "introduction": ["introduction", "background"],
@@ -40,14 +42,14 @@ QUESTION_TYPES = {
 }
 #: Words of high document frequency in prose corpora without scientific vocabulary, for corpus-wide runs.
 COMMON = {"relation": ["with", "from", "by"], "state": ["was", "are"], "pointer": ["this", "that", "this work"]}
-STOP_WORDS = """a about above across after afterwards again against all almost alone along already also although always am among amongst
-an and another any anyhow anyone anything anyway anywhere are around as at be became because become been before being below between both
-but by can cannot could de do done down due during each either else ever every few for former from further get give go had has have he
-hence her here hers herself him himself his how however i if in into is it its itself last least less many may me might more most mostly
-much must my myself neither never no nobody none nor not nothing now of off often on once one only onto or other others our ours out over
-own per perhaps please put rather re same see seem she should since so some such than that the their them then there these they this
-those through thus to together too under until up upon us very was we well were what when where whether which while who whole whose why
-will with within without would yet you your yours""".split()
+
+
+def stop_words(path: str | None = None) -> list[str]:
+    """The words of a stop list file; without a path, the English list that vectorizers commonly use."""
+    return (Path(path) if path else Path(__file__).with_name("stop_words.txt")).read_text().split()
+
+
+STOP_WORDS = stop_words()
 # Fixed values of answers and comparisons.
 QUERY_EXPANSION = {
     "materials_system": ["material", "sample", "compound", "thin film", "heterostructure", "semiconductor", "ferroelectric", "oxide", "chalcogenide", "wafer"],

@@ -11,13 +11,15 @@ HEADINGS = ["abstract", "introduction", "background", "methods", "materials and
 METADATA = ["arxiv:", "dated:", "university", "institute", "department", "copyright", "all rights reserved", "corresponding author"]
 NOISE_METADATA = [*METADATA, "journal of", "published by", "downloaded from", "accepted manuscript", "preprint"]
 SUMMARY_METADATA = [*METADATA, "email:"]
-SUMMARY_MARKERS = ["fig.", "figure", "table", "tab.", "eq.", "equation", "supplementary"]
-NOISE_MARKERS = [*SUMMARY_MARKERS, "figs."]
+NOISE_MARKERS = ["fig.", "figs.", "figure", "eq.", "equation", "appendix", "supplementary", "table"]
+SUMMARY_MARKERS = ["eq.", "equation", "fig.", "figure", "table", "appendix", "supplementary"]
 SUMMARY_SYMBOLS = "≈σ∆Δ⊥∥∞∂∑∫αβγθλμπωχ=+/\\<>|"
 NOISE_SYMBOLS = SUMMARY_SYMBOLS + "η±√∇"
 CLOSERS = "[\"'”’)\\]}]*"
+ENDED = "[.!?。！？]" + CLOSERS + "$"
 CJK = "[㐀-鿿]"
 WHITE = r"(?U)[\s\x1c-\x1f]"
+LINE_ENDS = "\n|\x0b|\x0c|[\x1c-\x1e]|\x85|\u2028|\u2029"
 MARK = ""  # stands where a sentence ends; private use, never in cleaned text
 
 
@@ -64,9 +66,9 @@ def clean_text(c: Column) -> Column:
 
 def protect(c: Column) -> Column:
     """Dots of abbreviations become U+E000, so that they end no sentence."""
-    out = F.regexp_replace(c, r"(?iU)\b(figs?|eqs?|refs?|dr|mr|mrs|ms|prof|vs|approx|et al)\.", "$1")
+    out = F.regexp_replace(c, r"(?iU)\b(figs?|eqs?|refs?|dr|mr|mrs|ms|prof|vs|approx|et[\s\x1c-\x1f]+al)\.", "$1\ue000")
     for a, b in (("e", "g"), ("i", "e")):
-        out = F.regexp_replace(out, rf"(?iU)\b({a})\.({b})\.", "$1$2")
+        out = F.regexp_replace(out, rf"(?iU)\b({a})\.({b})\.", "$1\ue000$2\ue000")
     return out
 
 
@@ -75,45 +77,61 @@ def restore(c: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """A known section name; few words all in capitals; or a short numbered line without a final mark."""
-    bare = F.regexp_replace(strip(line), r"^:+|:+$", "")
-    numbered = r"(?iU)^(\d+(\.\d+)*|[ivxlcdm]+)\.?[\s\x1c-\x1f]+"
-    plain = strip(F.regexp_replace(bare, numbered, ""))
-    n = word_count(plain)
-    capitals = (F.upper(plain) == plain) & (F.lower(plain) != plain)
-    return (
-        F.lower(plain).isin(HEADINGS)
-        | ((n <= 10) & capitals)
-        | (bare.rlike(numbered) & (n <= 12) & ~bare.rlike("[.!?。！？]$"))
-    )
+    """A known section name; few words all in capitals; or a short numbered line without a final mark and its closers."""
+    numbered = r"(?iU)^[\s\x1c-\x1f]*(\d+(\.\d+)*|[ivxlcdm]+)\.?[\s\x1c-\x1f]+"
 
+    def judged(s: Column) -> Column:
+        bare, plain = s["bare"], s["plain"]
+        n = word_count(plain)
+        capitals = (F.upper(plain) == plain) & (F.lower(plain) != plain)
+        return F.lower(plain).isin(HEADINGS) | ((n <= 10) & capitals) | ((bare != plain) & (n <= 12) & ~bare.rlike(ENDED))
 
-def is_complete(c: Column) -> Column:
-    return strip(c).rlike("[.!?。！？]" + CLOSERS + "$")
+    bare = F.regexp_replace(strip(line), "^:+|:+$", "")
+    return once(once(bare, lambda b: F.struct(b.alias("bare"), F.regexp_replace(b, numbered, "").alias("plain"))), judged)
 
 
-def logical_lines(c: Column) -> Column:
-    """Array of lines: hard-wrapped lines joined, headings and finished sentences on their own; dots stay protected."""
-    paragraphs = F.split(protect(clean_text(c)), "\n\n")
+def is_complete(c: Column) -> Column:
+    return strip(c).rlike(ENDED)
+
 
-    def folded(paragraph: Column) -> Column:
-        lines = F.filter(F.transform(F.split(paragraph, "\n|\x0b|\x0c|[\x1c-\x1e]|\x85| | "), strip), lambda x: x != "")
-        empty = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))
-        bullet = r"(?U)^([-•·]|\d+[.)])[\s\x1c-\x1f]+"
+def text_lines(c: Column) -> Column:
+    """Array of the stripped lines that are not blank."""
+    return F.filter(F.transform(F.split(c, LINE_ENDS), strip), lambda x: x != "")
 
-        def step(s: Column, x: Column) -> Column:
-            flushed = F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"])))
-            return (
-                F.when(is_heading(x), F.struct(F.lit("").alias("held"), F.concat(flushed, F.array(x)).alias("out")))
-                .when(x.rlike(bullet), F.struct(strip(F.regexp_replace(x, bullet, "")).alias("held"), flushed.alias("out")))
-                .when((s["held"] == "") | s["held"].rlike("[.!?。！？]" + CLOSERS + "$"), F.struct(x.alias("held"), flushed.alias("out")))
-                .otherwise(F.struct(F.concat(s["held"], F.lit(" "), x).alias("held"), s["out"].alias("out")))
-            )
 
-        end = lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"])))
-        return F.aggregate(lines, empty, step, end)
+def logical_lines(c: Column) -> Column:
+    """Array of lines: hard-wrapped lines joined, headings and finished sentences on their own.
+
+    A line begins a new one if it is a heading or a bullet, or if the line before it is a heading or ends a sentence
+    (abbreviations do not). So each line looks at its neighbour only, and no text is built up step by step.
+    """
+    bullet = r"(?U)^([-•·]|\d+[.)])[\s\x1c-\x1f]+"
+
+    def marked(x: Column) -> Column:
+        heading = is_heading(restore(x))
+        return once(
+            heading,
+            lambda h: F.struct(
+                F.when(h, x).otherwise(strip(F.regexp_replace(x, bullet, ""))).alias("line"),
+                (h | x.rlike(bullet)).alias("opens"),
+                (h | x.rlike(ENDED)).alias("ends"),
+            ),
+        )
+
+    def joined(rows: Column) -> Column:
+        starts = F.filter(
+            F.transform(rows, lambda r, i: F.when((i == 0) | r["opens"] | F.get(rows, i - 1)["ends"], i)), lambda i: i.isNotNull()
+        )
+        return once(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, k: restore(F.array_join(F.transform(F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i), lambda r: r["line"]), " ")),
+            ),
+        )
 
-    return F.flatten(F.transform(paragraphs, folded))
+    paragraphs = F.split(protect(clean_text(c)), "\n\n")
+    return F.flatten(F.transform(paragraphs, lambda p: once(F.transform(text_lines(p), marked), joined)))
 
 
 def _quality(s: Column, most_words: int, metadata: list[str], markers: list[str], symbols: str, most_symbols: int, least_alpha: float) -> Column:
@@ -147,14 +165,14 @@ def is_noisy(c: Column) -> Column:
 
 
 def is_bad_for_summary(c: Column) -> Column:
-    return once(strip(F.coalesce(c, F.lit(""))), lambda s: _quality(s, 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45))
+    return once(F.coalesce(c, F.lit("")), lambda s: _quality(s, 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45))
 
 
 def sentences(c: Column) -> Column:
     """Array of the text's sentences in order: cut at end marks, headings and noisy sentences dropped."""
     body = F.filter(logical_lines(c), lambda x: ~is_heading(x))
     ends = r"(?U)([.!?。！？]" + CLOSERS + r")(?=[\s\x1c-\x1f]|$|" + CJK + ")"
-    cut = F.flatten(F.transform(body, lambda x: F.split(F.regexp_replace(x, ends, "$1" + MARK), MARK)))
+    cut = F.flatten(F.transform(body, lambda x: F.split(F.regexp_replace(protect(x), ends, "$1" + MARK), MARK)))
     neat = F.transform(cut, lambda x: restore(F.regexp_replace(strip(x), WHITE + "+", " ")))
     return F.filter(neat, lambda x: (x != "") & ~is_noisy(x))
 
@@ -173,48 +191,86 @@ def passages(found: Column, max_words: int = 120) -> Column:
 
 
 def _escaped(term: str) -> str:
-    return r"\s+".join("".join("\\" + ch if not ch.isalnum() else ch for ch in w) for w in term.lower().split())
+    return "".join(r"\s+" if ch == " " else ch if ch.isalnum() else "\\" + ch for ch in term.lower().strip())
 
 
-def contains_term(c: Column, term: str) -> Column:
-    """Term in text, case-folded, not inside a longer run of ASCII letters or digits; CJK terms as plain substrings."""
+def _has_cjk(term: str) -> bool:
+    return any("㐀" <= ch <= "鿿" for ch in term)
+
+
+def _one_word(term: str) -> bool:
+    return term.isascii() and term.isalnum()
+
+
+def _found(low: Column, term: str) -> Column:
     if not term.strip():
         return F.lit(False)
-    if any("㐀" <= ch <= "鿿" for ch in term):
-        return F.contains(F.lower(c), F.lit(term.lower()))
-    return F.lower(c).rlike(r"(?U)(?<![a-z0-9])" + _escaped(term) + r"(?![a-z0-9])")
+    if _has_cjk(term):
+        return F.contains(low, F.lit(term.lower().strip()))
+    return low.rlike(r"(?U)(?<![a-z0-9])" + _escaped(term) + r"(?![a-z0-9])")
+
+
+def contains_term(c: Column, term: str) -> Column:
+    """Term in text, case-folded, not inside a longer run of ASCII letters or digits; CJK terms as plain substrings."""
+    return _found(F.lower(c), term)
 
 
 def contains_intent(c: Column, term: str) -> Column:
     """As contains_term, but no letter, digit or underscore of any script may touch the term."""
-    if any("㐀" <= ch <= "鿿" for ch in term):
+    if _has_cjk(term):
         return F.contains(F.lower(c), F.lit(term.lower()))
     return F.lower(c).rlike(r"(?U)(?<!\w)" + _escaped(term) + r"(?!\w)")
 
 
+def term_words(c: Column) -> Column:
+    """(low, words) of a text: the case-folded text and its distinct runs of ASCII letters and digits, for the lookups below."""
+    return F.struct(F.lower(c).alias("low"), F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
+
+
+def words_have_any(seen: Column, terms: list[str]) -> Column:
+    """Whether a term_words value has one of the terms: words by lookup, other terms by pattern."""
+    words = sorted({t.lower().strip() for t in terms if _one_word(t.strip())})
+    found = [F.arrays_overlap(seen["words"], F.array(*map(F.lit, words)))] if words else []
+    found += [_found(seen["low"], t) for t in terms if not _one_word(t.strip())]
+    return F.coalesce(*[F.when(f, F.lit(True)) for f in found], F.lit(False))
+
+
+def words_count(seen: Column, terms: list[str]) -> Column:
+    """How many of the terms a term_words value has; a term listed twice counts twice."""
+    words = [t.lower().strip() for t in terms if _one_word(t.strip())]
+    out = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.array_contains(seen["words"], w))) if words else F.lit(0)
+    return sum((_found(seen["low"], t).cast("int") for t in terms if not _one_word(t.strip())), out)
+
+
 def any_term(c: Column, terms: list[str]) -> Column:
-    return F.coalesce(*[F.when(contains_term(c, t), F.lit(True)) for t in terms], F.lit(False))
+    return once(term_words(c), lambda s: words_have_any(s, terms))
 
 
 def count_terms(c: Column, terms: list[str]) -> Column:
-    return sum((contains_term(c, t).cast("int") for t in terms), F.lit(0))
+    return once(term_words(c), lambda s: words_count(s, terms))
+
+
+CITATION = r"(?U)\[[\d,\-\s\x1c-\x1f]+\]"
 
 
 def strip_citations(c: Column) -> Column:
-    out = F.regexp_replace(c, r"\[\d+([,\s–-]+\d+)*\]", "")
+    """Without marks such as [1], [2,3] and [4-6], repeated white space and blanks before punctuation."""
+    out = F.regexp_replace(strip(c), CITATION, "")
     return strip(F.regexp_replace(F.regexp_replace(out, WHITE + "+", " "), r" +([,.;:!?])", "$1"))
 
 
 def normalize_heading(c: Column) -> Column:
-    out = F.regexp_replace(strip(F.lower(c)), r"^(\d+|[ivxlcdm]+)\.?\s+", "")
-    return strip(F.regexp_replace(F.regexp_replace(out, r"[^a-z\s]", ""), r"\s+", " "))
+    out = F.regexp_replace(F.lower(strip(c)), r"(?U)^[\s\x1c-\x1f]*(\d+|[ivxlcdm]+)\.?[\s\x1c-\x1f]+", "")
+    return strip(F.regexp_replace(F.regexp_replace(out, r"(?U)[^a-z\s\x1c-\x1f]", ""), WHITE + "+", " "))
 
 
 def section_of(line: Column, aliases: dict[str, list[str]]) -> Column:
     """The first section in table order one of whose aliases a line of eight words at most is or begins with."""
-    name = normalize_heading(line)
-    match = [F.when((name == a) | name.startswith(a + " "), F.lit(section)) for section, terms in aliases.items() for a in terms]
-    return F.when(word_count(line) <= 8, F.coalesce(*match))
+
+    def match(name: Column) -> Column:
+        return F.coalesce(*[F.when((name == a) | name.startswith(a + " "), F.lit(section)) for section, terms in aliases.items() for a in terms])
+
+    return F.when(word_count(line) <= 8, once(normalize_heading(line), match))
 
 
 def dedup_key(c: Column) -> Column:
@@ -222,7 +278,7 @@ def dedup_key(c: Column) -> Column:
 
 
 def page_key(c: Column) -> Column:
-    out = F.regexp_replace(F.lower(c), r"\[\d+([,\s–-]+\d+)*\]", "")
+    out = F.regexp_replace(F.lower(c), CITATION, " ")
     return F.trim(F.regexp_replace(out, "[^a-z0-9㐀-鿿]+", " "))
 
 

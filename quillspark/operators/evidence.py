@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
 from quillspark.operators import documents as O
+from quillspark.tables import settle
+
+
+# The Markdown of summaries and answers.
+SUMMARY_ROLES = {"main_focus": "Main focus", "method": "Approach / method", "result": "Key result", "limitation": "Limitation / future work"}
+SUMMARY_HEAD, SUMMARY_POINTS = "### Grounded summary", "### Supporting points"
+SUMMARY_NOTE = "> Note: This is a grounded extractive summary. The wording is lightly cleaned, but the factual content is selected from the original document."
+NO_SUMMARY = "No clean readable sentence was found. The uploaded PDF may contain mostly equations, scanned text, or broken encoding."
+ANSWER_HEAD = "### Grounded answer"
+ANSWER_NOTE = "> Note: This QA mode is extractive and grounded. It answers by selecting relevant sentences from the uploaded document, not by inventing new claims."
+ANSWER_WEAK = "> The answer below is based on weak textual evidence. Please verify it against the original paper."
+NOTHING_ASKED = ("Please enter a question.", "No question was provided.")
+NOTHING_FOUND = (
+    "I could not find relevant evidence in the uploaded document. Try asking a more specific question, or upload a cleaner PDF/text file.",
+    "No relevant passage was retrieved.",
+)
+NOTHING_CLEAN = (
+    "I found potentially relevant passages, but they were too noisy to form a clean answer. The PDF may contain dense formulas, broken text, or scanned content.",
+    "Retrieved passages were too noisy for a clean answer.",
+)
+STRENGTHS = {
+    "Strong": "The top answer sentence and its passage both had strong lexical support.",
+    "Moderate": "Relevant complete source sentences passed the filters, but lexical support was not consistently strong.",
+    "Weak": "Only weak lexical support was found; verify the cited passage before using the answer.",
+}
 
 
 def tfidf(units: DataFrame, group: list[str], unit: list[str], text: str, max_df: float = 1.0) -> DataFrame:
@@ -25,20 +50,22 @@ def tfidf(units: DataFrame, group: list[str], unit: list[str], text: str, max_df
 
 
 def role_bonus(sentence: Column, roles: dict[str, list[str]] = L.ROLES, domain: dict[str, list[str]] = L.DOMAIN) -> Column:
-    named = sum((T.any_term(sentence, terms).cast("int") for terms in roles.values()), F.lit(0))
-    hits = sum((T.count_terms(sentence, terms) for terms in domain.values()), F.lit(0))
-    return 0.25 * named + F.least(0.06 * hits, F.lit(0.36))
+    def of(seen: Column) -> Column:
+        named = sum((T.words_have_any(seen, terms).cast("int") for terms in roles.values()), F.lit(0))
+        hits = T.words_count(seen, [t for terms in domain.values() for t in terms])
+        return 0.25 * named + F.least(0.06 * hits, F.lit(0.36))
+
+    return T.once(T.term_words(sentence), of)
 
 
 def _cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(b[e["key"]], F.lit(0.0)))
 
 
-def summaries(candidates: DataFrame, k: int = 5, alike: float = 0.68) -> DataFrame:
-    """(doc_id, ord, section, sentence): the k best sentences of each document, none alike to a better one.
+def summary_scores(candidates: DataFrame) -> DataFrame:
+    """candidates with base (sum of a sentence's TF-IDF weights within its document), vector, and score.
 
-    One document's candidates meet in one row, best first; each is compared with the chosen ones only, k at most.
-    Documents of k candidates or fewer keep all; where no term is left, the first k stay. Ties keep the earlier sentence.
+    The base counts by the section's weight, a tenth more among its first three sentences, and the role bonus is added.
     """
     weights = tfidf(candidates, ["doc_id"], ["ord"], "sentence", 0.9).groupBy("doc_id", "ord").agg(
         F.sum("w").alias("base"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("vector")
@@ -46,7 +73,16 @@ def summaries(candidates: DataFrame, k: int = 5, alike: float = 0.68) -> DataFra
     weight = F.coalesce(*[F.when(F.col("section") == s, F.lit(w)) for s, w in L.SECTION_WEIGHTS.items()], F.lit(1.0))
     early = F.when(F.col("position") <= 2, 1.10).otherwise(1.0)
     scored = candidates.join(weights, ["doc_id", "ord"], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
-    scored = scored.withColumn("score", F.round(F.col("base") * weight * early + role_bonus(F.col("sentence")), 9))
+    return scored.withColumn("score", F.round(F.col("base") * weight * early + role_bonus(F.col("sentence")), 9))
+
+
+def summaries(candidates: DataFrame, k: int = 5, alike: float = 0.68) -> DataFrame:
+    """(doc_id, ord, section, sentence): the k best sentences of each document, none alike to a better one.
+
+    One document's candidates meet in one row, best first; each is compared with the chosen ones only, k at most.
+    Documents of k candidates or fewer keep all; where no term is left, the first k stay. Ties keep the earlier sentence.
+    """
+    scored = summary_scores(candidates)
     rows = scored.groupBy("doc_id").agg(
         F.max("base").alias("most"),
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "section", "sentence"))).alias("ranked"),
@@ -65,6 +101,37 @@ def summaries(candidates: DataFrame, k: int = 5, alike: float = 0.68) -> DataFra
     return kept.select("doc_id", "r.ord", "r.section", "r.sentence")
 
 
+def summary_texts(
+    docs: DataFrame,
+    aliases: dict[str, list[str]] = L.SECTION_ALIASES,
+    k: int = 5,
+    pages: DataFrame | None = None,
+    roles: dict[str, list[str]] = L.ROLES,
+    preferred: dict[str, list[str]] = L.ROLE_SECTIONS,
+) -> DataFrame:
+    """(doc_id, summary): Markdown of the chosen sentences in text order and, below them, of role sentences not among them.
+
+    With pages (doc_id, page_number, page_text) each sentence cites its page. A document without a fit sentence gets a
+    fixed text.
+    """
+    chosen = summaries(O.summary_candidates(docs, aliases), k)
+    overview = chosen.groupBy("doc_id").agg(F.collect_set("sentence").alias("shown"))
+    found = docs.select("doc_id", O.candidate_array(F.col("text"), aliases).alias("cands")).join(overview, "doc_id").select(
+        "doc_id", "shown", *[O.best_by_role(F.col("cands"), roles[r], preferred.get(r, []), F.col("shown"))["sentence"].alias(f"role{i}") for i, r in enumerate(SUMMARY_ROLES)]
+    )
+    said = F.array(*[F.struct(F.lit(1).alias("block"), F.lit(i).alias("no"), F.lit(f"- **{label}:** ").alias("label"), F.col(f"role{i}").alias("sentence")) for i, label in enumerate(SUMMARY_ROLES.values())])
+    new = F.filter(said, lambda r, i: r["sentence"].isNotNull() & ~F.array_contains("shown", r["sentence"]) & ~F.exists(F.slice(said, 1, i), lambda e: e["sentence"].eqNullSafe(r["sentence"])))
+    lines = found.select("doc_id", F.explode(new).alias("r")).select("doc_id", "r.*")
+    lines = lines.unionByName(chosen.select("doc_id", F.lit(0).alias("block"), F.col("ord").alias("no"), F.lit("").alias("label"), "sentence"))
+    if pages is not None:
+        lines = O.with_pages(lines, pages, "sentence").withColumn("sentence", T.cite(F.col("sentence"), F.col("page_number")))
+    rows = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block", "no", F.concat("label", "sentence").alias("line")))).alias("lines"))
+    block = lambda b, sep: F.array_join(F.transform(F.filter("lines", lambda x: x["block"] == b), lambda x: x["line"]), sep)
+    points = F.when(block(1, "\n") != "", F.concat(F.lit(f"\n\n{SUMMARY_POINTS}\n"), block(1, "\n"))).otherwise("")
+    text = F.concat(F.lit(f"{SUMMARY_HEAD}\n\n"), block(0, " "), points, F.lit(f"\n\n{SUMMARY_NOTE}"))
+    return docs.select("doc_id").join(rows.select("doc_id", text.alias("t")), "doc_id", "left").select("doc_id", F.coalesce("t", F.lit(NO_SUMMARY)).alias("summary"))
+
+
 def expanded(queries: DataFrame, types: dict[str, list[str]] = L.QUESTION_TYPES, terms: dict[str, list[str]] = L.QUERY_EXPANSION) -> DataFrame:
     """(query_id, question_type, query): blank queries go, others get the terms of their type behind them."""
     asked = queries.where(T.strip(F.coalesce("query", F.lit(""))) != "")
@@ -73,64 +140,178 @@ def expanded(queries: DataFrame, types: dict[str, list[str]] = L.QUESTION_TYPES,
     return typed.select("query_id", "question_type", F.concat_ws(" ", "query", more).alias("query"))
 
 
-def answers(passages: DataFrame, queries: DataFrame, top: int = 4, most: int = 4, terms: dict[str, list[str]] = L.ANSWER_TERMS) -> DataFrame:
-    """(query_id, evidence_id, doc_id, passage_index, sentence_index, sentence, answer_score, strength).
+def answer_bonus(sentence: Column, question_type: Column, terms: dict[str, list[str]] = L.ANSWER_TERMS) -> Column:
+    """0.08 for each term of the question's type, 0.15 for a claim phrase, 0.5 at most."""
 
-    Sentences of the query's best passages by cosine, passage score and terms of the question's type; the same words are
-    kept once, then those within 35 % of the best (0.10 at least), else the best alone. evidence_id is the rank by score.
-    """
-    asked = expanded(queries)
-    hits = O.retrieve(passages, asked, top).select("query_id", "doc_id", "passage_index", F.col("score").alias("passage_score"))
-    keys = ["doc_id", "passage_index"]
-    rows = hits.join(passages.select(*keys, "passage"), keys).select("query_id", *keys, "passage_score", F.posexplode(T.sentences(F.col("passage"))).alias("sentence_index", "raw"))
-    fit = rows.withColumn("sentence", T.strip_citations(F.col("raw"))).drop("raw").where(~T.is_bad_for_summary(F.col("sentence")))
-    unit = [*keys, "sentence_index"]
+    def of(seen: Column) -> Column:
+        hits = F.coalesce(*[F.when(question_type == t, T.words_count(seen, ws)) for t, ws in terms.items() if ws], F.lit(0))
+        return F.least(0.08 * hits + F.when(T.words_have_any(seen, L.CLAIMS), 0.15).otherwise(0.0), F.lit(0.5))
+
+    return T.once(T.term_words(sentence), of)
+
+
+def strength(answer_score: Column, passage_score: Column) -> Column:
+    return F.when((answer_score >= 0.35) & (passage_score >= 0.08), "Strong").when(answer_score >= 0.18, "Moderate").otherwise("Weak")
+
+
+def _retrieved(passages: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query_id, evidence_id, doc_id, passage_index, page_number, passage, passage_score): evidence_id is the passage's rank."""
+    if "page_number" not in passages.columns:
+        passages = passages.withColumn("page_number", F.lit(None).cast("int"))
+    hits = O.retrieve(passages, asked, top)
+    return hits.select("query_id", F.col("rank").alias("evidence_id"), "doc_id", "passage_index", "page_number", "passage", F.col("score").alias("passage_score"))
+
+
+def _fit_sentences(hits: DataFrame) -> DataFrame:
+    rows = hits.select("query_id", "evidence_id", "doc_id", "passage_index", "page_number", "passage_score", F.posexplode(T.sentences(F.col("passage"))).alias("sentence_index", "raw"))
+    return rows.withColumn("sentence", T.strip_citations(F.col("raw"))).drop("raw").where(~T.is_bad_for_summary(F.col("sentence")))
+
+
+def _selected(fit: DataFrame, asked: DataFrame, most: int, terms: dict[str, list[str]]) -> DataFrame:
+    unit = ["evidence_id", "sentence_index"]
     # the query stands as one more sentence of its group, under ids of -1
     both = fit.select("query_id", *unit, "sentence").unionByName(
-        asked.join(fit.select("query_id").distinct(), "query_id", "left_semi").select("query_id", *[F.lit(-1).cast(fit.schema[u].dataType).alias(u) for u in unit], F.col("query").alias("sentence"))
+        asked.join(fit.select("query_id").distinct(), "query_id", "left_semi").select("query_id", *[F.lit(-1).alias(u) for u in unit], F.col("query").alias("sentence"))
     )
     w = tfidf(both, ["query_id"], unit, "sentence", 0.95)
     q = w.where("sentence_index = -1").select("query_id", "term", F.col("w").alias("qw"))
     alike = w.where("sentence_index >= 0").join(q, ["query_id", "term"]).groupBy("query_id", *unit).agg(F.sum(F.col("w") * F.col("qw")).alias("cosine"))
-    hits_of = F.coalesce(*[F.when(F.col("question_type") == t, T.count_terms(F.col("sentence"), ws)) for t, ws in terms.items() if ws], F.lit(0))
-    bonus = F.least(0.08 * hits_of + F.when(T.any_term(F.col("sentence"), L.CLAIMS), 0.15).otherwise(0.0), F.lit(0.5))
     scored = fit.join(alike, ["query_id", *unit], "left").join(asked.select("query_id", "question_type"), "query_id")
-    scored = scored.withColumn("answer_score", F.round(F.coalesce("cosine", F.lit(0.0)) + 0.35 * F.col("passage_score") + bonus, 6)).withColumn("key", T.dedup_key(F.col("sentence")))
-    place = [F.desc("answer_score"), F.desc("passage_score"), *unit]
+    score = F.coalesce("cosine", F.lit(0.0)) + 0.35 * F.col("passage_score") + answer_bonus(F.col("sentence"), F.col("question_type"), terms)
+    scored = scored.withColumn("answer_score", F.round(score, 6)).withColumn("key", T.dedup_key(F.col("sentence")))
+    place = [F.desc("answer_score"), *unit]
     once = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(*place))).where("n = 1")
-    best = F.max("answer_score").over(Window.partitionBy("query_id"))
-    ranked = once.withColumn("least", F.greatest(F.lit(0.10), 0.35 * best)).withColumn("evidence_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*place)))
-    kept = ranked.where((F.col("evidence_id") == 1) | ((F.col("evidence_id") <= most) & (F.col("answer_score") >= F.col("least"))))
     whole = Window.partitionBy("query_id")
-    a, p = F.max("answer_score").over(whole), F.max("passage_score").over(whole)
-    strength = F.when((a >= 0.35) & (p >= 0.08), "Strong").when(a >= 0.18, "Moderate").otherwise("Weak")
-    return kept.withColumn("strength", strength).select("query_id", "evidence_id", *unit, "sentence", "answer_score", "strength")
+    ranked = once.withColumn("least", F.greatest(F.lit(0.10), 0.35 * F.max("answer_score").over(whole))).withColumn("item", F.row_number().over(whole.orderBy(*place)))
+    kept = ranked.where((F.col("item") == 1) | ((F.col("item") <= most) & (F.col("answer_score") >= F.col("least"))))
+    return kept.withColumn("strength", strength(F.max("answer_score").over(whole), F.max("passage_score").over(whole))).drop("key", "n", "least")
+
+
+_ITEM = ["query_id", "item", "evidence_id", "doc_id", "passage_index", "page_number", "sentence_index", "sentence", "passage_score", "answer_score", "question_type", "strength"]
+
+
+def answers(passages: DataFrame, queries: DataFrame, top: int = 4, most: int = 4, terms: dict[str, list[str]] = L.ANSWER_TERMS) -> DataFrame:
+    """Answer sentences: query_id, item (by score), evidence_id, doc_id, passage_index, page_number, sentence_index, sentence, scores, question_type, strength.
+
+    Sentences of the query's best passages by cosine, passage score and terms of the question's type; the same words are
+    kept once, then those within 35 % of the best (0.10 at least), else the best alone. evidence_id is the rank of the
+    sentence's passage. passages: doc_id, passage_index, passage and, if known, page_number.
+    """
+    asked = settle(expanded(queries))
+    return _selected(settle(_fit_sentences(_retrieved(passages, asked, top))), asked, most, terms).select(*_ITEM)
+
+
+def with_names(rows: DataFrame, names: DataFrame, name: str = "source") -> DataFrame:
+    """rows with the document's name; a missing or blank one is `Document` and doc_id."""
+    known = names.select("doc_id", T.strip(F.coalesce("name", F.lit(""))).alias("known_"))
+    label = F.coalesce(F.nullif("known_", F.lit("")), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+    return rows.join(known, "doc_id", "left").select(*rows.columns, label.alias(name))
+
+
+def sources(items: DataFrame) -> DataFrame:
+    """(query_id, source_no, label): distinct sources of the answer's sentences by the best sentence, with their page."""
+    label = F.when(F.col("page_number").isNull(), F.col("source")).otherwise(F.concat("source", F.lit(", p. "), F.col("page_number").cast("string")))
+    first = items.groupBy("query_id", label.alias("label")).agg(F.min("item").alias("first"))
+    return first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).alias("source_no"), "label")
+
+
+def answer_texts(passages: DataFrame, queries: DataFrame, names: DataFrame, top: int = 4, most: int = 4, terms: dict[str, list[str]] = L.ANSWER_TERMS) -> DataFrame:
+    """(query_id, question_type, strength, reason, answer): Markdown of each query's answer, one row per query.
+
+    Sentences follow in text order with their evidence number and page, grouped by source where there are several; then
+    the sources, best first. Blank queries, queries without a passage and those whose passages are noise get fixed texts.
+    """
+    asked = settle(expanded(queries))
+    hits = settle(_retrieved(passages, asked, top))
+    items = settle(with_names(_selected(settle(_fit_sentences(hits)), asked, most, terms), names))
+    cited = F.concat("sentence", F.lit(" [E"), F.col("evidence_id").cast("string"), F.lit("]"), F.when(F.col("page_number").isNotNull(), F.concat(F.lit(" [p. "), F.col("page_number").cast("string"), F.lit("]"))).otherwise(""))
+    at = F.struct("doc_id", "passage_index", "sentence_index")
+    by_source = items.groupBy("query_id", "source").agg(F.min(at).alias("at"), F.sort_array(F.collect_list(F.struct(at.alias("at"), cited.alias("line")))).alias("lines"))
+    said = by_source.select("query_id", "at", "source", F.array_join(F.transform("lines", lambda x: x["line"]), " ").alias("said"))
+    body = said.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", "source", "said"))).alias("parts"))
+    bullets = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("- **"), p["source"], F.lit(":** "), p["said"])), "\n")
+    body = body.select("query_id", F.when(F.size("parts") == 1, F.col("parts")[0]["said"]).otherwise(bullets).alias("body"))
+    listed = sources(items).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("source_no", "label"))).alias("s"))
+    listed = listed.select("query_id", F.array_join(F.transform("s", lambda x: F.concat(F.lit("- "), x["label"])), "\n").alias("listed"))
+    state = items.groupBy("query_id").agg(F.first("strength").alias("strength"))
+    rows = queries.select("query_id").join(asked.select("query_id", "question_type"), "query_id", "left")
+    rows = rows.join(hits.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left")
+    for part in (state, body, listed):
+        rows = rows.join(part, "query_id", "left")
+    reason = F.coalesce(*[F.when(F.col("strength") == k, F.lit(v)) for k, v in STRENGTHS.items()])
+    whole = F.concat_ws(
+        "\n",
+        F.lit(f"{ANSWER_HEAD}\n"),
+        F.concat(F.lit("**Detected question type:** `"), F.col("question_type"), F.lit("`")),
+        F.concat(F.lit("**Evidence strength:** `"), F.col("strength"), F.lit("`")),
+        F.concat(F.lit("**Why:** "), reason, F.lit("\n")),
+        F.when(F.col("strength") == "Weak", F.lit(f"{ANSWER_WEAK}\n")),
+        F.lit("**Answer:**"),
+        F.concat("body", F.lit("\n")),
+        F.lit("**Evidence sources:**"),
+        F.concat("listed", F.lit("\n")),
+        F.lit(ANSWER_NOTE),
+    )
+    blank, unfound = F.col("question_type").isNull(), F.col("found").isNull()
+    return rows.select(
+        "query_id",
+        F.coalesce("question_type", F.lit("general")).alias("question_type"),
+        F.coalesce("strength", F.lit("Weak")).alias("strength"),
+        F.when(blank, NOTHING_ASKED[1]).when(unfound, NOTHING_FOUND[1]).when(F.col("strength").isNull(), NOTHING_CLEAN[1]).otherwise(reason).alias("reason"),
+        F.when(blank, NOTHING_ASKED[0])
+        .when(unfound, f"{ANSWER_HEAD}\n\n{NOTHING_FOUND[0]}")
+        .when(F.col("strength").isNull(), f"{ANSWER_HEAD}\n\n{NOTHING_CLEAN[0]}")
+        .otherwise(whole)
+        .alias("answer"),
+    )
 
 
 def dimension_score(sentence: Column, dimension: str, terms: list[str]) -> Column:
-    score = T.count_terms(sentence, terms) * F.lit(1.0)
-    if dimension == "Parameters / settings":
-        units = r"(?U)\b\d+(\.\d+)?\s?(" + "|".join(L.UNITS) + r")\b"
-        score = score + 1.5 * F.regexp_count(sentence, F.lit(units)) + F.when(T.any_term(sentence, L.CONDITIONS), 0.8).otherwise(0.0)
-    if dimension == "Research focus":
-        score = score + F.when(T.word_count(sentence) <= 35, 0.3).otherwise(0.0)
-    if dimension == "Key results / performance":
-        score = score + F.when(T.any_term(sentence, L.OUTCOMES), 0.8).otherwise(0.0)
-    return F.round(score, 6)
-
-
-def comparison(docs: DataFrame, dimensions: dict[str, list[str]] = L.DIMENSIONS, most: int = 3) -> DataFrame:
-    """(doc_id, dimension, snippet_ord, snippet): each document's best sentences of a dimension in text order; null where none."""
-    rows = O.sentence_rows(docs).withColumn("sentence", T.strip_citations(F.col("sentence"))).where(~T.is_bad_for_summary(F.col("sentence")))
-    scores = F.array(*[F.struct(F.lit(d).alias("dimension"), dimension_score(F.col("sentence"), d, ws).alias("score")) for d, ws in dimensions.items()])
-    long = rows.select("doc_id", "position", "sentence", T.dedup_key(F.col("sentence")).alias("key"), F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s"))
-    long = long.select("doc_id", "position", "sentence", "key", "s.dimension", "s.score")
-    cell, place = ["doc_id", "dimension"], [F.desc("score"), "position"]
-    once = long.withColumn("n", F.row_number().over(Window.partitionBy(*cell, "key").orderBy(*place))).where("n = 1")
-    top = once.withColumn("n", F.row_number().over(Window.partitionBy(*cell).orderBy(*place))).where(F.col("n") <= most)
-    ordered = top.withColumn("snippet_ord", F.row_number().over(Window.partitionBy(*cell).orderBy("position")) - 1)
-    every = docs.select("doc_id", F.explode(F.array(*map(F.lit, dimensions))).alias("dimension"))
-    return every.join(ordered, cell, "left").select(*cell, "snippet_ord", F.col("sentence").alias("snippet"))
+    def of(seen: Column) -> Column:
+        score = T.words_count(seen, terms) * F.lit(1.0)
+        if dimension == "Parameters / settings":
+            units = r"(?U)\b\d+(\.\d+)?[\s\x1c-\x1f]?(" + "|".join(L.UNITS) + r")\b"
+            score = score + 1.5 * F.regexp_count(sentence, F.lit(units)) + F.when(T.words_have_any(seen, L.CONDITIONS), 0.8).otherwise(0.0)
+        if dimension == "Research focus":
+            score = score + F.when(T.word_count(sentence) <= 35, 0.3).otherwise(0.0)
+        if dimension == "Key results / performance":
+            score = score + F.when(T.words_have_any(seen, L.OUTCOMES), 0.8).otherwise(0.0)
+        return F.round(score, 6)
+
+    return T.once(T.term_words(sentence), of)
+
+
+def comparison(docs: DataFrame, dimensions: dict[str, list[str]] = L.DIMENSIONS, most: int = 3, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dimension, snippet_ord, snippet): each document's best sentences of a dimension in text order; null where none.
+
+    Sentences of one score keep their order, those of the same words count once. Built in the row. With pages snippets
+    cite their page.
+    """
+    sentences = F.filter(
+        F.transform(T.sentences(F.col("text")), lambda x, i: F.struct(i.alias("position"), T.strip_citations(x).alias("sentence"))), lambda r: ~T.is_bad_for_summary(r["sentence"])
+    )
+
+    def of(rows: Column, d: str, terms: list[str]) -> Column:
+        scored = F.sort_array(
+            F.filter(
+                F.transform(rows, lambda r: F.struct((-dimension_score(r["sentence"], d, terms)).alias("neg"), r["position"].alias("position"), r["sentence"].alias("sentence"), T.dedup_key(r["sentence"]).alias("key"))),
+                lambda r: r["neg"] < 0,
+            )
+        )
+
+        def top(found: Column) -> Column:
+            keys = F.slice(F.array_distinct(F.transform(found, lambda r: r["key"])), 1, most)
+            best = F.transform(keys, lambda k: F.get(F.filter(found, lambda r: r["key"] == k), F.lit(0)))
+            return F.transform(F.sort_array(F.transform(best, lambda r: F.struct(r["position"], r["sentence"]))), lambda r, i: F.struct(i.alias("snippet_ord"), r["sentence"].alias("snippet")))
+
+        none = F.array(F.struct(F.lit(None).cast("int").alias("snippet_ord"), F.lit(None).cast("string").alias("snippet")))
+        return T.once(T.once(scored, top), lambda s: F.struct(F.lit(d).alias("dimension"), F.when(F.size(s) > 0, s).otherwise(none).alias("snippets")))
+
+    cells = T.once(sentences, lambda rows: F.array(*[of(rows, d, terms) for d, terms in dimensions.items()]))
+    out = docs.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.dimension", F.explode("c.snippets").alias("s")).select("doc_id", "dimension", "s.*")
+    if pages is None:
+        return out
+    return O.with_pages(out, pages, "snippet").withColumn("snippet", T.cite(F.col("snippet"), F.col("page_number"))).drop("page_number")
 
 
 def comparison_cells(snippets: DataFrame, none: str = "Not clearly detected.") -> DataFrame:
@@ -139,6 +320,39 @@ def comparison_cells(snippets: DataFrame, none: str = "Not clearly detected.") -
     return snippets.groupBy("doc_id", "dimension").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(none)).alias("cell"))
 
 
+def comparison_table(cells: DataFrame, names: dict[int, str], dimensions: dict[str, list[str]] = L.DIMENSIONS) -> DataFrame:
+    """(Dimension, one column per named document): the wide table of a few documents, in the order of the dimensions.
+
+    names: doc_id to column name; a blank name is `Document` and its place. Fewer than two documents: no rows.
+    """
+    safe = {d: name if name and name.strip() else f"Document {i + 1}" for i, (d, name) in enumerate(names.items())}
+    place = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(i)) for i, d in enumerate(dimensions)])
+    wide = cells.where(F.col("doc_id").isin(list(safe))).groupBy("dimension").agg(*[F.max(F.when(F.col("doc_id") == d, F.col("cell"))).alias(name) for d, name in safe.items()])
+    return wide.where(F.lit(len(safe) >= 2)).orderBy(place).withColumnRenamed("dimension", "Dimension")
+
+
+COMPARISON_NOTES = (
+    "Please upload at least two documents for comparison.",
+    "This comparison is extractive and evidence-based. Each cell is built from sentences detected in the uploaded documents.",
+)
+
+
+def comparison_note(docs: DataFrame) -> DataFrame:
+    """(note): what is said beside the tables; a single document has nothing to be compared with."""
+    return docs.limit(2).agg(F.when(F.count(F.lit(1)) < 2, COMPARISON_NOTES[0]).otherwise(COMPARISON_NOTES[1]).alias("note"))
+
+
+def keyword_table(docs: DataFrame, top: int = 15, none: str = "None detected") -> DataFrame:
+    """(doc_id, shared, distinctive): keywords that all documents have, and those of the document alone, sorted and joined."""
+    found = settle(O.keywords(docs, top).select("doc_id", F.lower("keyword").alias("keyword")).distinct())
+    n = docs.count()
+    counts = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("doc_id"))
+    join = lambda c: F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_list(c)), ", "), F.lit("")), F.lit(none))
+    shared = counts.where(F.col("n_docs") == n).agg(join("keyword").alias("shared"))  # at most `top` words
+    alone = counts.where("n_docs = 1").groupBy("doc_id").agg(join("keyword").alias("distinctive"))
+    return docs.select("doc_id").join(alone, "doc_id", "left").crossJoin(F.broadcast(shared)).select("doc_id", "shared", F.coalesce("distinctive", F.lit(none)).alias("distinctive"))
+
+
 def nearby_text(images: DataFrame, blocks: DataFrame, sentences: int = 4, chars: int = 1600) -> DataFrame:
     """(doc_id, page_number, image_no, nearby): first sentences of the page's blocks from 180 above to 260 below an image.
 
@@ -162,8 +376,10 @@ def figure_purpose(caption: Column, nearby: Column, purposes: dict[str, list[str
     return F.when(F.coalesce(caption, F.lit("")) != "", F.coalesce(*cases, F.lit("provisional")))
 
 
-def corpus_metrics(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(T.word_count(F.col("text")).cast("long")).alias("n_words")).withColumn("mode", F.when(F.col("n_docs") > 1, "multi").otherwise("single"))
+def corpus_metrics(docs: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """(n_docs, n_words, n_figures, mode) of a workspace."""
+    n = F.lit(0).cast("long") if figures is None else F.lit(figures.count())
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(T.word_count(F.col("text")).cast("long")).alias("n_words")).withColumn("n_figures", n).withColumn("mode", F.when(F.col("n_docs") > 1, "multi").otherwise("single"))
 
 
 def recent_questions(history: DataFrame, keep: int = 8, by: str = "workspace") -> DataFrame:

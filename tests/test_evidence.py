@@ -5,9 +5,10 @@ import re
 from itertools import pairwise
 
 from quillspark.functions import lexicon as L
+from quillspark.operators import corpus as C
 from quillspark.operators import documents as O
 from quillspark.operators import evidence as E
-from quillspark.sources import files
+from quillspark.sources import files, pdf
 from quillspark.streaming import files as stream_files
 
 TEXTS = [
@@ -61,26 +62,103 @@ def test_summaries(spark):
     assert got == {(0, rows[i].ord) for i in chosen} | {(r.doc_id, r.ord) for r in cands if r.doc_id == 1}
 
 
-def test_answers_cite_retrieved_sentences(spark):
-    asked = spark.createDataFrame([(1, "How was the film deposited?"), (2, " "), (3, "zzzz")], "query_id int, query string")
+def test_answers(spark):
+    asked = spark.createDataFrame([(1, "How was it deposited?"), (2, " "), (3, "zzzz qqqq xxxx")], "query_id int, query string")
     passages = O.passage_rows(docs_of(spark), 20)
     rows = E.answers(passages, asked).collect()
-    assert {r.query_id for r in rows} >= {1} and 2 not in {r.query_id for r in rows}
-    mine = sorted((r for r in rows if r.query_id == 1), key=lambda r: r.evidence_id)
-    assert [r.evidence_id for r in mine] == list(range(1, len(mine) + 1)) and len(mine) <= 4
-    assert [r.answer_score for r in mine] == sorted((r.answer_score for r in mine), reverse=True)
-    assert any("deposited" in r.sentence for r in mine) and all(r.sentence in TEXTS[r.doc_id] for r in mine)
-    assert mine[0].strength in ("Strong", "Moderate", "Weak")
+    mine = sorted((r for r in rows if r.query_id == 1), key=lambda r: r.item)
+    assert 1 <= len(mine) <= 4 and [r.item for r in mine] == list(range(1, len(mine) + 1)) and 2 not in {r.query_id for r in rows}
+    # scores by plain Python over the retrieved sentences and the expanded question
+    query = "How was it deposited? " + " ".join(L.QUERY_EXPANSION["method"])
+    hits = O.retrieve(passages, spark.createDataFrame([(1, query)], "query_id int, query string")).collect()
+    units = [(h.rank, h.score, s) for h in sorted(hits, key=lambda h: h.rank) for s in re.findall(r"[^.]+\.", h.passage)]
+    vecs = vectors([s.strip() for *_, s in units] + [query], 0.95)
+    has = lambda s, t: re.search(r"(?<![a-z0-9])" + re.escape(t) + r"(?![a-z0-9])", s.lower()) is not None
+    bonus = lambda s: min(0.08 * sum(has(s, t) for t in L.ANSWER_TERMS["method"]) + (0.15 if any(has(s, t) for t in L.CLAIMS) else 0), 0.5)
+    want = {s.strip(): (rank, round(cosine(v, vecs[-1]) + 0.35 * score + bonus(s), 5)) for (rank, score, s), v in zip(units, vecs, strict=False)}
+    assert all((r.evidence_id, round(r.answer_score, 5)) == want[r.sentence] for r in mine)
+    assert mine[0].answer_score == max(r.answer_score for r in mine) == round(max(x for _, x in want.values()), 6) or abs(mine[0].answer_score - max(x for _, x in want.values())) < 1e-4
+
+
+def test_answer_texts(spark):
+    pages = spark.createDataFrame([(1, 1, ""), (1, 2, "The film was deposited by sputtering at dusk in air. Nobody saw it there."), (2, 1, "The layer was deposited by sputtering at dawn in air. Birds fly over the lake.")], "doc_id long, page_number int, page_text string")
+    asked = spark.createDataFrame([(1, "How was it deposited?"), (2, " "), (3, "Qqqq zzzz xxxx vvvv?")], "query_id int, query string")
+    names = spark.createDataFrame([(1, "a.pdf")], "doc_id long, name string")
+    got = {r.query_id: r for r in E.answer_texts(O.page_passages(pages), asked, names).collect()}
+    assert got[1].question_type == "method" and "- **a.pdf:** " in got[1].answer and "- **Document 2:** " in got[1].answer
+    assert "[p. 2]" in got[1].answer and "- a.pdf, p. 2" in got[1].answer and got[1].reason in got[1].answer
+    assert (got[2].answer, got[2].strength, got[2].question_type) == ("Please enter a question.", "Weak", "general")
+    lonely = E.answer_texts(O.page_passages(pages.where("doc_id = 1")), asked, names).where("query_id = 1").head().answer
+    assert "**Answer:**\n" in lonely and "- **a.pdf:**" not in lonely
+
+
+def test_sources_in_order_of_their_best_sentence(spark):
+    rows = [(1, 3, "b", None), (1, 1, "b", 4), (1, 2, "a", 1), (1, 4, "b", 4)]
+    items = spark.createDataFrame(rows, "query_id int, item int, source string, page_number int")
+    assert [r.label for r in E.sources(items).orderBy("source_no").collect()] == ["b, p. 4", "a, p. 1", "b"]
+
+
+def test_summary_texts(spark):
+    text = "Abstract\nWe report a new pier for the town of Vik. The pier was measured using a long chain. The chain shows wear after the storm. However the work is limited to one pier. Nets dry on it.\n"
+    docs = spark.createDataFrame([(1, text), (2, "Nothing fit"), (3, None)], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, 1, "x"), (1, 2, text)], "doc_id long, page_number int, page_text string")
+    got = {r.doc_id: r.summary for r in E.summary_texts(docs, k=2, pages=pages).collect()}
+    assert got[2] == got[3] == E.NO_SUMMARY
+    head, points = got[1].split("\n\n### Supporting points\n")
+    assert head.startswith("### Grounded summary\n\n") and head.count("[p. 2]") == 2
+    lines = points.split("\n\n")[0].split("\n")
+    assert all(x.endswith("[p. 2]") for x in lines) and len(lines) == len(set(lines)) >= 1
+    assert not any(x.split(":** ")[1] in head for x in lines) and got[1].endswith(E.SUMMARY_NOTE)
 
 
 def test_comparison(spark):
     rows = E.comparison(docs_of(spark), most=2)
-    cells = {(r.doc_id, r.dimension): r.cell for r in E.comparison_cells(rows).collect()}
-    assert len(cells) == 2 * len(L.DIMENSIONS)
-    assert cells[1, "Fabrication / synthesis"] == "Not clearly detected."
-    assert cells[0, "Limitations / future work"].startswith("However the stability")
+    cells = E.comparison_cells(rows)
+    got = {(r.doc_id, r.dimension): r.cell for r in cells.collect()}
+    assert len(got) == 2 * len(L.DIMENSIONS)
+    assert got[1, "Fabrication / synthesis"] == "Not clearly detected."
+    assert got[0, "Limitations / future work"].startswith("However the stability")
     at = {r.doc_id: r.snippet for r in rows.where("dimension = 'Parameters / settings' and snippet_ord = 0").collect()}
     assert "300 K" in at[0]
+    wide = E.comparison_table(cells, {0: "film", 1: " "}).collect()
+    assert [r["Dimension"] for r in wide] == list(L.DIMENSIONS) and wide[1]["film"] == got[0, "Material / system"] and "Document 2" in wide[0].asDict()
+    assert E.comparison_table(cells, {0: "film"}).count() == 0
+    assert E.comparison_note(docs_of(spark).limit(1)).head().note.startswith("Please")
+
+
+def test_keyword_table(spark):
+    docs = spark.createDataFrame([(1, "pier net boat"), (2, "pier boat lamp"), (3, "pier oar")], "doc_id long, text string")
+    got = {r.doc_id: (r.shared, r.distinctive) for r in E.keyword_table(docs).collect()}
+    assert got[3] == ("pier", "oar, pier oar") and got[2] == ("pier", "boat lamp, lamp, pier boat")
+    assert E.keyword_table(docs.where("doc_id = 1").unionByName(docs.where("doc_id = 1").withColumns({"doc_id": E.F.lit(9), "text": E.F.lit("")}))).head().shared == "None detected"
+
+
+def test_corpus_keywords_cross_documents(spark):
+    docs = spark.createDataFrame([("w", 1, "net boat"), ("w", 2, " the "), ("w", 3, "net oar"), ("v", 4, None)], "workspace string, doc_id long, text string")
+    got = {r.keyword: r.score for r in C.corpus_keywords(docs).collect()}
+    whole = O.keywords(spark.createDataFrame([(1, "net boat\n\n the \n\nnet oar")], "doc_id long, text string")).collect()
+    assert got == {r.keyword: r.score for r in whole}
+    assert "".join(r.part for r in C.corpus_parts(docs).orderBy("doc_id").collect()) == "net boat\n\n the \n\nnet oar\n\n"
+    both = C.target_documents(docs.select("doc_id", "text"), spark.createDataFrame([(7, 3), (8, None), (9, 99)], "target_id int, doc_id long"))
+    assert sorted((r.target_id, r.doc_id) for r in both.collect()) == [(7, 3), (8, 1), (8, 2), (8, 3), (8, 4)]
+
+
+def test_pdf_pages_and_unreadable_inputs(spark):
+    def parse(data):
+        if data[:1] != b"P":
+            raise ValueError("broken")
+        return data.decode()[1:].split("|")
+
+    files = spark.createDataFrame([("x/a.pdf", b"PTop|| End ."), ("x/b.pdf", b"?"), ("c.pdf", b"P"), ("d.pdf", None)], "path string, content binary")
+    pages = pdf.pdf_pages(files, parse).collect()
+    assert [(r.name, r.page_number, r.page_text, r.error) for r in pages] == [("a.pdf", 1, "Top", None), ("a.pdf", 2, "", None), ("a.pdf", 3, " End .", None), ("b.pdf", None, None, "b.pdf: broken"), ("c.pdf", 1, "", None), ("d.pdf", None, None, "d.pdf: broken")]
+    table = pdf.pdf_pages(files, parse)
+    texts = pdf.page_documents(table).join(table.groupBy("doc_id").agg(E.F.first("name").alias("name"), E.F.max("error").alias("error")), "doc_id")
+    good, errors = pdf.routed(texts)
+    assert [(r.name, r.text) for r in good.collect()] == [("a.pdf", "Top\n\nEnd.")]
+    assert sorted(r.error for r in errors.collect()) == ["b.pdf: broken", f"c.pdf: {pdf.NOTHING_READABLE}", "d.pdf: broken"]
+    figs = texts.where("name = 'c.pdf'").select("doc_id")
+    assert {r.name for r in pdf.routed(texts, figs)[0].collect()} == {"a.pdf", "c.pdf"}
 
 
 def test_nearby_text_and_purpose(spark):

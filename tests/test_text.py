@@ -1,5 +1,9 @@
+"""Rules of text and sentences: boundary values, marks, marks with closers, and lines; texts are about a harbour."""
+
+import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import markup
 from quillspark.functions import text as T
 from quillspark.operators import documents as O
 
@@ -8,53 +12,119 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "t string").select(f(F.col("t"))).head()[0]
 
 
-def test_wrapped_lines(spark):
-    text = "Abstract\nWe report a robust oxide memory cell\nbuilt with a low-temperature transfer step\nthat lowers leakage across the array.\nThe measured retention stays constant\nover many write cycles in air."
-    assert one(spark, text, T.sentences) == [
-        "We report a robust oxide memory cell built with a low-temperature transfer step that lowers leakage across the array.",
-        "The measured retention stays constant over many write cycles in air.",
+def many(spark, values, f):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", f(F.col("t")).alias("v")).orderBy("i").collect()
+    return [r.v for r in rows]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, []),
+        ("Nets were\nmended at\nnight. Boats left\nearly on Monday.", ["Nets were mended at night.", "Boats left early on Monday."]),
+        ("Nets were mended.\n\nat night they slept ashore.", ["at night they slept ashore."]),  # three words, then a new paragraph
+        ("TIDES\nThe pier was closed all winter.\nRESULTS:\nIt was opened again in May.", ["The pier was closed all winter.", "It was opened again in May."]),
+        ("- Ropes were sold by weight.\n- Tar was sold\nby the barrel.", ["Ropes were sold by weight.", "Tar was sold by the barrel."]),
+        ("5 He wrote \"all boats are in.\"\nThen he went home to sleep.", ["5 He wrote \"all boats are in.\"", "Then he went home to sleep."]),  # numbered, but ends in a mark and a quote
+        ("5 boats in the bay\nThen he went home to sleep.", ["Then he went home to sleep."]),  # numbered without a mark: a heading
+        ("It rained (as it always does.) So they stayed in.", ["It rained (as it always does.)", "So they stayed in."]),
+        ("See Refs. 22 and 31 for it. Ask Prof. Lund or et\nal. about that one.", ["See Refs. 22 and 31 for it.", "Ask Prof. Lund or et al. about that one."]),
+        ("船只在清晨离开港口前往外海。他说：“天气非常好适合远航！”随后大家回家休息去了。", ["船只在清晨离开港口前往外海。", "他说：“天气非常好适合远航！”", "随后大家回家休息去了。"]),
+        ("This line goes on without any", []),
+        ("Four words are enough. Three are not.", ["Four words are enough."]),
+    ],
+)
+def test_sentences(spark, text, want):
+    assert one(spark, text, T.sentences) == want
+
+
+def test_noise_and_summary_filters(spark):
+    fill = " ".join(["word"] * 80)
+    cases = [
+        ("The appendix and the long table are bound.", True, True),  # two markers
+        ("The appendix alone is bound in red.", False, False),
+        ("One tab. of it and a figure are here.", False, False),  # only the listed markers count
+        (f"{fill} and six more words stand here.", False, True),  # 87 words: 90 and 85 are the limits
+        (f"{fill} and four more.", False, False),
+        ("Write to the keeper at email: pier today.", False, True),
+        ("It was a preprint of the town press.", True, False),
+        ("The sum is a = b + c / d + e = f + g here.", True, True),
+        ("On days 11 12 13 14 15 16 17 18 it rained without any end here.", False, False),
+        ("On days 11 12 13 14 15 16 17 18 19 it rained without any end here.", True, True),
+        ("12345-678 is the number of that boat.", True, False),
+        ("No end mark stands after these words", True, True),
+        ("", True, True),
     ]
+    texts = [c[0] for c in cases]
+    assert many(spark, texts, T.is_noisy) == [c[1] for c in cases]
+    assert many(spark, texts, T.is_bad_for_summary) == [c[2] for c in cases]
+
+
+def test_headings(spark):
+    lines = ["Results:", "3.2 Methods", "iv. Nets and ropes", "THE OLD PIER", "THE OLD PIER IS LONG AND IT WAS BUILT BY HAND", "12 boats came.", "12 boats came.”", "12 boats came", "Mid tide", "The results"]
+    assert many(spark, lines, T.is_heading) == [True, True, True, True, False, False, False, True, True, False]
 
 
-def test_abbreviation(spark):
-    got = one(spark, "The full measurement sequence is listed in Figure 1 below. As seen in Fig. 2, the response rises after annealing.", T.sentences)
-    assert len(got) == 2 and got[1].startswith("As seen in Fig. 2")
+def test_citations(spark):
+    cases = [("Ropes [1] hold [2,3] .", "Ropes hold."), ("Kept [ 4 ] and [5,6,].", "Kept and."), ("A dash [1–3] stays.", "A dash [1–3] stays."), (" So [a] ,  too ", "So [a], too")]
+    assert many(spark, [c[0] for c in cases], T.strip_citations) == [c[1] for c in cases]
+    assert one(spark, "Net[1]mended, at Night!", T.page_key) == "net mended at night"
 
 
-def test_cjk_and_fragments(spark):
-    assert len(one(spark, "本文制备了稳定的二维铁电薄膜器件。实验表明退火可以改善循环性能。", T.sentences)) == 2
-    assert len(one(spark, "The finished cell keeps a constant response over time. This trailing piece has many words but no ending", T.sentences)) == 1
-    assert one(spark, "Leakage fell today.", T.sentences) == []
-    assert one(spark, None, T.sentences) == []
+def test_clean_text(spark):
+    cases = [("a-\n b", "ab"), ("x (cid:7) y", "x y"), ("\r\nA ( b ) ;\tc■■d", "A (b); c d"), ("a\n\n\n\nb", "a\n\nb"), (None, "")]
+    assert many(spark, [c[0] for c in cases], T.clean_text) == [c[1] for c in cases]
 
 
 def test_passages(spark):
-    s = "one two three four five six seven eight nine ten eleven."
-    df = spark.createDataFrame([([s, s],)], "a array<string>")
-    assert [len(df.select(T.passages(F.col("a"), n)).head()[0]) for n in (12, 22)] == [2, 1]
+    rows = [(["a b c.", "d e.", "f g h i j k.", "l."],)]
+    df = spark.createDataFrame(rows, "a array<string>")
+    got = {n: df.select(T.passages(F.col("a"), n)).head()[0] for n in (1, 4, 5, 100)}
+    assert got[1] == ["a b c.", "d e.", "f g h i j k.", "l."]
+    assert got[4] == got[1] and got[5] == ["a b c. d e.", "f g h i j k.", "l."] and len(got[100]) == 1
 
 
 def test_terms(spark):
-    cases = [("The so-called reference recipe stays available.", "ald", False), ("The oxide layer is grown by ALD in vacuum.", "ald", True), ("用ALD方法", "ald", True), ("X-Ray   diffraction peak", "x-ray diffraction", True), ("used for characterization.", "characteriz", False)]
+    cases = [("Nets were sold.", "net", False), ("A net, sold.", "net", True), ("net2 was sold", "net", False), ("the_net_", "net", True), ("渔net网", "net", True), ("渔网很大", "渔网", True), ("old  oak\nboat", "old oak boat", True), ("Ox-Bow lake", "ox-bow", True), ("", "net", False), ("any", " ", False)]
     for text, term, want in cases:
-        assert one(spark, text, lambda c, t=term: T.contains_term(c, t)) is want
-    assert one(spark, "用ALD方法", lambda c: T.contains_intent(c, "ald")) is False
+        assert one(spark, text, lambda c, t=term: T.contains_term(c, t)) is want, (text, term)
+        assert one(spark, text, lambda c, t=term: T.any_term(c, [t, "zzz"])) is want
+        assert one(spark, text, lambda c, t=term: T.count_terms(c, [t, t, "zzz"])) == 2 * want
+    assert one(spark, "the_net_", lambda c: T.contains_intent(c, "net")) is False
+    assert one(spark, "渔net网", lambda c: T.contains_intent(c, "net")) is False
+
+
+def test_sections_follow_their_headings(spark):
+    text = "Before any.\nResults\nMethods\nBy hand.\nReferences\nA book.\nResults\nIt held."
+    got = O.sections(spark.createDataFrame([(1, text), (2, "References\nonly"), (3, None)], "doc_id int, text string")).collect()
+    assert [(r.doc_id, r.section, r.section_ord, r.section_text) for r in got] == [(1, "body", 0, "Before any."), (1, "results", 1, "It held."), (1, "methods", 2, "By hand.")]
+
+
+def test_names_in_use(spark):
+    names = ["n.txt", "n (2).txt", "n.txt", "n.txt", "n (3).txt", "n (2).txt", ".rc", ".rc", "deep.tar.gz", "deep.tar.gz", "m", "m (3)", "m", "m", None, "n (2) (2).txt"]
+    rows = spark.createDataFrame(list(enumerate(names)), "upload_ord int, name string")
+    used, want = set(), []
+    for n in names:
+        if n is not None and n in used:
+            stem, dot, suffix = n.rpartition(".")
+            stem, suffix = (stem, dot + suffix) if stem else (n, "")
+            n = next(c for k in range(2, 99) if (c := f"{stem} ({k}){suffix}") not in used)
+        used.add(n)
+        want.append(n)
+    assert [r.unique_name for r in O.unique_names(rows).orderBy("upload_ord").collect()] == want
+    assert len(set(want)) == len(want)
 
 
 def test_keywords(spark):
-    got = O.keywords(spark.createDataFrame([(1, "alpha beta alpha")], "doc_id long, text string")).orderBy("rank").collect()
-    assert [(r.keyword, r.score) for r in got] == [("alpha", 0.755929), ("alpha beta", 0.377964), ("beta", 0.377964), ("beta alpha", 0.377964)]
+    got = O.keywords(spark.createDataFrame([(1, "net boat net"), (2, None), (3, "the of")], "doc_id long, text string")).orderBy("doc_id", "rank").collect()
+    assert [(r.doc_id, r.keyword, r.score) for r in got] == [(1, "net", 0.755929), (1, "boat", 0.377964), (1, "boat net", 0.377964), (1, "net boat", 0.377964)]
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([(1, 1, "The film is grown by ALD in vacuum."), (1, 2, ""), (1, 3, "Raman spectroscopy confirms the phase.")], "doc_id long, page_number int, page_text string")
-    s = spark.createDataFrame([(1, "Raman spectroscopy confirms the phase."), (1, "Not there at all.")], "doc_id long, sentence string")
-    assert {r.sentence: r.page_number for r in O.evidence_pages(s, pages).collect()} == {"Raman spectroscopy confirms the phase.": 3, "Not there at all.": None}
+    pages = spark.createDataFrame([(1, 1, "Boats come in at dusk."), (1, 2, None), (1, 3, "Nets[4]dry on the wall. Boats come in at dusk.")], "doc_id long, page_number int, page_text string")
+    s = spark.createDataFrame([(1, "Boats come in at dusk."), (1, "Nets dry on the wall."), (1, "Nobody came."), (2, "Nets dry on the wall."), (1, "...")], "doc_id long, sentence string")
+    assert {(r.doc_id, r.sentence): r.page_number for r in O.evidence_pages(s, pages).collect()} == {(1, "Boats come in at dusk."): 1, (1, "Nets dry on the wall."): 3, (1, "Nobody came."): None, (2, "Nets dry on the wall."): None, (1, "..."): None}
 
 
-def test_nearest_caption(spark):
-    images = spark.createDataFrame([(1, 1, 1, 50.0, 80.0, 350.0, 260.0)], "doc_id long, page_number int, image_no int, x0 double, y0 double, x1 double, y1 double")
-    kind = "doc_id long, page_number int, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
-    a, b, far = (1, 1, 1, 0.0, 280.0, 9.0, 292.0, "Figure 1. Spectrum of two films."), (1, 1, 2, 0.0, 55.0, 9.0, 70.0, "Fig. 2 Layout."), (1, 1, 3, 0.0, 490.0, 9.0, 500.0, "Fig. 2 Layout.")
-    assert O.nearest_captions(images, spark.createDataFrame([a, b], kind)).head().caption == a[-1]
-    assert O.nearest_captions(images, spark.createDataFrame([far], kind)).head().caption is None
+def test_localized(spark):
+    assert one(spark, "**Why:** Weak light", markup.localized) == "**判断依据：** 弱 light"
