@@ -66,6 +66,11 @@ def stretches(data: bytes, length: int, anchor: int, memo: dict) -> Iterator[tup
             yield m, lo + a, size, places < 2
 
 
+def _text_key():
+    """A text's 128-bit hash; a stretch is known by its least hash and its own, which are 128 bits together."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def _stretch_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -80,20 +85,20 @@ def _stretch_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                         c.append(v)
             m, c = (np.array(x, np.uint64).view(np.int64) for x in cols[:2])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m), pa.array(c), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.bool_())], ["m", "c", "u", "start", "size", "alone"]
+                [pa.array(m), pa.array(c), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.bool_())], ["m", "c", "u", "start", "size", "alone"]
             )
 
-    return docs.select(F.xxhash64("text").alias("u"), "text").mapInArrow(run, "m long, c long, u long, start long, size int, alone boolean")
+    return docs.select(_text_key().alias("u"), "text").mapInArrow(run, "m long, c long, u binary, start long, size int, alone boolean")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(m, c, data): the bytes of one place (u, start, size) of each wanted stretch."""
     per_text = wanted.groupBy("u").agg(F.collect_list(F.struct("m", "c", "start", "size")).alias("places"))
-    rows = docs.select(F.xxhash64("text").alias("u"), "text")
+    rows = docs.select(_text_key().alias("u"), "text")
     joined = rows.join(per_text.hint("shuffle_hash"), "u").select("u", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[bytes] = set()
         for batch in rows_per_batch(batches):
             out: list[list] = [[], [], []]
             for u, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -194,7 +199,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("spans", i)).alias("lo"), (F.col("start") + F.get("spans", i + 1) + length).alias("hi")))
     hits = seen.select("m", "c", "u", "start").distinct().join(found, ["m", "c"]).select("u", pairs.alias("spans"))
     by_text = hits.groupBy("u").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("u_"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), _text_key().alias("u_"))
     joined = whole.join(by_text.hint("shuffle_hash"), F.col("u_") == F.col("u"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

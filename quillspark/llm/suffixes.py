@@ -2,7 +2,9 @@
 
 A queue per first symbol works as a monotone priority queue: suffixes are induced in the order of their sources, so each
 queue holds (position, common prefix with the entry before it) already sorted by (symbol, rank of the source).
-The text, types and queues are files; memory is a few blocks of BLOCK entries, whatever the shard's size.
+Text, types, queues, names and the reduced text of each recursion are files that are mapped or read in blocks. In memory
+are a few blocks of BLOCK entries, POOL entries of all queues together, a reduced text of BASE names or fewer, where the
+recursion ends, and below 1 KB for the queues of each distinct name of a longer one.
 """
 
 from __future__ import annotations
@@ -11,28 +13,64 @@ import heapq
 import os
 import shutil
 import tempfile
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 1 << 18
-MEMORY = 1 << 16  # entries that a queue holds before it goes to disk
+POOL = 1 << 21  # entries that the queues of one induction hold together before they go to disk
+BASE = 1 << 22  # names of a reduced text that is sorted in memory
 _ENTRY = np.dtype([("pos", "<i8"), ("lcp", "<u1")])
 
 
+class Pool:
+    """The entries that queues hold in memory, and the file to which all of them go when there are POOL."""
+
+    def __init__(self, path: str):
+        self.file, self.held, self.full = open(path, "w+b"), 0, {}  # noqa: SIM115
+
+    def added(self, queue: Queue, n: int) -> None:
+        self.held += n
+        self.full[id(queue)] = queue
+        if self.held > POOL:
+            for q in self.full.values():
+                q.flush()
+            self.held, self.full = 0, {}
+
+    def write(self, entries: list[np.ndarray]) -> int:
+        at = self.file.seek(0, os.SEEK_END)
+        for e in entries:
+            self.file.write(e.tobytes())
+        return at
+
+    def read(self, at: int, n: int) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(n * _ENTRY.itemsize), _ENTRY)
+
+    def close(self) -> None:
+        self.file.close()
+        os.unlink(self.file.name)
+
+
 class Queue:
-    """First in, first out, on disk beyond MEMORY entries; read() may also go through it again, from either end."""
+    """First in, first out, on disk where its pool is full; blocks() and blocks_back() go through it again, from either end."""
+
+    __slots__ = ("at", "held", "n_held", "on_disk", "places", "pool", "starts")
 
-    def __init__(self, folder: str, name: str):
-        self.path, self.held, self.n_held, self.on_disk, self.at = os.path.join(folder, name), [], 0, 0, 0
+    def __init__(self, pool: Pool):
+        self.pool, self.held, self.n_held, self.at = pool, [], 0, 0
+        self.starts, self.places, self.on_disk = [], [], 0  # of the parts on disk: first entry, place in the file
 
     def push(self, entries: np.ndarray) -> None:
         self.held.append(entries)
         self.n_held += len(entries)
-        if self.n_held > MEMORY:
-            with open(self.path, "ab") as f:
-                for e in self.held:
-                    f.write(e.tobytes())
+        self.pool.added(self, len(entries))
+
+    def flush(self) -> None:
+        if self.n_held:
+            self.starts.append(self.on_disk)
+            self.places.append(self.pool.write(self.held))
             self.on_disk += self.n_held
             self.held, self.n_held = [], 0
 
@@ -41,13 +79,15 @@ class Queue:
 
     def _range(self, lo: int, hi: int) -> np.ndarray:
         parts = []
-        if lo < self.on_disk:
-            with open(self.path, "rb") as f:
-                f.seek(lo * _ENTRY.itemsize)
-                parts.append(np.frombuffer(f.read((min(hi, self.on_disk) - lo) * _ENTRY.itemsize), _ENTRY))
-        if hi > self.on_disk and self.held:
-            self.held = [np.concatenate(self.held)]
-            parts.append(self.held[0][max(lo - self.on_disk, 0) : hi - self.on_disk])
+        i = bisect_right(self.starts, lo) - 1
+        while lo < min(hi, self.on_disk):
+            end = self.starts[i + 1] if i + 1 < len(self.starts) else self.on_disk
+            n = min(end, hi) - lo
+            parts.append(self.pool.read(self.places[i] + (lo - self.starts[i]) * _ENTRY.itemsize, n))
+            lo, i = lo + n, i + 1
+        if hi > lo and self.held:
+            self.held = [np.concatenate(self.held)] if len(self.held) > 1 else self.held
+            parts.append(self.held[0][lo - self.on_disk : hi - self.on_disk])
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
     def pop(self) -> np.ndarray | None:
@@ -67,6 +107,21 @@ class Queue:
             yield self._range(max(0, hi - BLOCK), hi)[::-1]
 
 
+class Numbers:
+    """A file of whole numbers, written in blocks from the start and then mapped."""
+
+    def __init__(self, path: str, kind=np.int64):
+        self.path, self.kind, self.n, self.file = path, kind, 0, open(path, "wb")  # noqa: SIM115
+
+    def append(self, x: np.ndarray) -> None:
+        self.file.write(np.asarray(x, self.kind).tobytes())
+        self.n += len(x)
+
+    def mapped(self, mode: str = "r") -> np.ndarray:
+        self.file.close()
+        return np.memmap(self.path, self.kind, mode) if self.n else np.zeros(0, self.kind)
+
+
 def _entries(pos: np.ndarray, lcp: np.ndarray | int) -> np.ndarray:
     out = np.empty(len(pos), _ENTRY)
     out["pos"], out["lcp"] = pos, lcp
@@ -98,8 +153,8 @@ class _Ranges:
 class _Pusher:
     """Pushes induced suffixes to the queues of their first symbols, with 1 + the least common prefix since the last push."""
 
-    def __init__(self, queues: dict[int, Queue], folder: str, name: str, sigma: int, depth: int):
-        self.queues, self.folder, self.name, self.depth = queues, folder, name, depth
+    def __init__(self, queues: dict[int, Queue], pool: Pool, sigma: int, depth: int):
+        self.queues, self.pool, self.depth = queues, pool, depth
         self.since = np.full(sigma, depth, np.uint8)
         self.fresh: list[int] = []  # symbols whose queue is new
 
@@ -129,15 +184,15 @@ class _Pusher:
         for a, b in zip(starts.tolist(), (ends + 1).tolist(), strict=True):
             c = int(symbols[a])
             if c not in self.queues:
-                self.queues[c] = Queue(self.folder, f"{self.name}{c}")
+                self.queues[c] = Queue(self.pool)
                 self.fresh.append(c)
             self.queues[c].push(entries[a:b].copy())
 
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """S-type (True) or L-type of each suffix; the text ends with a symbol smaller than all others."""
+def _types(text: np.ndarray, path: str) -> np.ndarray:
+    """S-type (True) or L-type of each suffix, in a file; the text ends with a symbol smaller than all others."""
     n = len(text)
-    out = np.empty(n, bool)
+    out = np.memmap(path, bool, "w+", shape=(n,))
     out[-1] = True
     after = True
     for hi in range(n - 1, 0, -BLOCK):
@@ -159,10 +214,10 @@ def _runs(text: np.ndarray, pos: int) -> int:
     return int(differs[0]) if len(differs) else len(own)
 
 
-def _induce(text: np.ndarray, stype: np.ndarray, seeds: dict[int, Queue], sigma: int, depth: int, folder: str, tag: str) -> Iterator[np.ndarray]:
+def _induce(text: np.ndarray, stype: np.ndarray, seeds: dict[int, Queue], sigma: int, depth: int, pool: Pool) -> Iterator[np.ndarray]:
     """All suffixes in order, in blocks, from the sorted S* suffixes of each first symbol; lcp is with the suffix before."""
     left: dict[int, Queue] = {}
-    pusher = _Pusher(left, folder, f"{tag}L", sigma, depth)
+    pusher = _Pusher(left, pool, sigma, depth)
 
     def induced(block: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = np.flatnonzero(block["pos"] > 0)
@@ -201,7 +256,7 @@ def _induce(text: np.ndarray, stype: np.ndarray, seeds: dict[int, Queue], sigma:
                 meet(1)
     # From the end: S suffixes before L suffixes of each symbol. An entry's lcp is with the larger suffix pushed before it.
     right: dict[int, Queue] = {}
-    pusher = _Pusher(right, folder, f"{tag}S", sigma, depth)
+    pusher = _Pusher(right, pool, sigma, depth)
     todo = set(left) | {int(text[-1])}
     heap = [-d for d in todo]
     heapq.heapify(heap)
@@ -253,7 +308,7 @@ def _last(q: Queue) -> np.ndarray:
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Base case: the order of the suffixes of a string of many distinct names, by doubling ranks.
+    """Base case: the order of the suffixes of a string of names that fits in memory, by doubling ranks.
 
     A rank is the place of the first suffix of its group; each round sorts only what stands in groups of two or more.
     """
@@ -299,55 +354,107 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
     return out
 
 
+_BASE = 0x9E3779B97F4A7C15
+_LOW = 1 << 16
+
+
+class _Sums:
+    """Hashes of any stretch of (symbol, type) pairs, from running sums in a file."""
+
+    def __init__(self, text: np.ndarray, stype: np.ndarray, path: str):
+        n = len(text)
+        self.low, self.high = self._table(_BASE, n)
+        self.back = self._table(pow(_BASE, -1, 1 << 64), n)
+        self.sums = np.memmap(path, np.uint64, "w+", shape=(n + 1,))
+        total = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for lo in range(0, n, BLOCK):
+                hi = min(n, lo + BLOCK)
+                kind = np.asarray(text[lo:hi]).astype(np.uint64) * np.uint64(2) + np.asarray(stype[lo:hi]).astype(np.uint64) + np.uint64(1)
+                own = np.cumsum(kind * self._power(self.low, self.high, np.arange(lo, hi))) + total
+                self.sums[lo + 1 : hi + 1] = own
+                total = own[-1]
+
+    @staticmethod
+    def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            low = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_LOW - 1, base, np.uint64))])
+            high = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n // _LOW, pow(base, _LOW, 1 << 64), np.uint64))])
+        return low, high
+
+    @staticmethod
+    def _power(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return low[at % _LOW] * high[at // _LOW]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[end] - self.sums[start]) * self._power(*self.back, start)
+
+
 def _sorted_stars(text: np.ndarray, stype: np.ndarray, sigma: int, folder: str, tag: str) -> np.ndarray:
     """Positions of the S* suffixes in their order: sort S* substrings by induction, name them, sort the names' string."""
-    star = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
-    if len(star) <= 1:
-        return star
-    chars = np.asarray(text[star]).astype(np.int64)
+    path = lambda name: os.path.join(folder, tag + name)
+    found = Numbers(path("stars"))
+    pool = Pool(path("queues"))
     seeds: dict[int, Queue] = {}
-    order = np.argsort(chars, kind="stable")
-    cuts = np.flatnonzero(np.diff(chars[order])) + 1
-    for part in np.split(order, cuts):
-        q = seeds[int(chars[part[0]])] = Queue(folder, f"{tag}n{chars[part[0]]}")
-        q.push(_entries(star[part], 0))
-    is_star = np.zeros(len(text), bool)
-    is_star[star] = True
-    ranked = np.concatenate([b["pos"][is_star[b["pos"]]] for b in _induce(text, stype, seeds, sigma, 1, folder, f"{tag}i")])
-    # Equal neighbours: same length and same symbols, by the hash of each substring.
-    ends = np.append(star[1:], len(text) - 1)
-    with np.errstate(over="ignore"):
-        base = np.uint64(0x9E3779B97F4A7C15)
-        powers = np.cumprod(np.full(int((ends - star).max()) + 1, base, np.uint64))
-        length = ends - star + 1
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        flat = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - star, length)
-        inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
-        kind = np.asarray(text[flat]).astype(np.uint64) * np.uint64(2) + np.asarray(stype[flat]).astype(np.uint64) + np.uint64(1)
-        hashed = np.add.reduceat(kind * powers[np.minimum(inner, len(powers) - 1)], offsets[:-1])
-    place = np.searchsorted(star, ranked)
-    differs = np.append(False, (hashed[place[1:]] != hashed[place[:-1]]) | (length[place[1:]] != length[place[:-1]]))
-    name = np.empty(len(star), np.int64)
-    name[place] = np.cumsum(differs)
-    kinds = int(differs.sum()) + 1
-    if kinds == len(star):
-        return ranked
-    if kinds > len(star) // 8 or kinds > 5000 or len(star) < 1000:
-        return star[_doubled(name)]
-    reduced = np.append(name + 1, 0)
-    path = os.path.join(folder, f"{tag}r")
-    reduced.astype(np.uint32).tofile(path)
-    text_r = np.memmap(path, np.uint32, "r")
-    types_r = _types(text_r)
-    return star[np.concatenate([b["pos"] for b in _suffixes(text_r, types_r, kinds + 1, 1, folder, tag + "r")])[1:]]
+    for lo in range(1, len(text), BLOCK):
+        own = np.asarray(stype[lo - 1 : lo + BLOCK])
+        star = np.flatnonzero(own[1:] & ~own[:-1]) + lo
+        found.append(star)
+        chars = np.asarray(text[star]).astype(np.int64)
+        order = np.argsort(chars, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(chars[order])) + 1) if len(star) else ():
+            c = int(chars[part[0]])
+            if c not in seeds:
+                seeds[c] = Queue(pool)
+            seeds[c].push(_entries(star[part], 0))
+    stars = found.mapped()
+    if len(stars) <= 1:
+        pool.close()
+        return stars
+    ranked = Numbers(path("ranked"))
+    for block in _induce(text, stype, seeds, sigma, 1, pool):
+        pos = block["pos"]
+        ranked.append(pos[np.asarray(stype[pos]) & (pos > 0) & ~np.asarray(stype[np.maximum(pos - 1, 0)])])
+    pool.close()
+    order = ranked.mapped()
+    # Equal neighbours: same length and same symbols, by the hash of each substring up to the next star.
+    sums = _Sums(text, stype, path("sums"))
+    names = np.memmap(path("names"), np.int64, "w+", shape=(len(stars),))
+    last, kinds = (-1, 0), -1
+    for lo in range(0, len(order), BLOCK):
+        own = np.asarray(order[lo : lo + BLOCK])
+        place = np.searchsorted(stars, own)
+        end = np.where(place + 1 < len(stars), stars[np.minimum(place + 1, len(stars) - 1)], len(text) - 1) + 1
+        h, size = sums.hashes(own, end), end - own
+        differs = np.append((int(size[0]), int(h[0])) != last, (h[1:] != h[:-1]) | (size[1:] != size[:-1]))
+        names[place] = kinds + np.cumsum(differs)
+        last, kinds = (int(size[-1]), int(h[-1])), kinds + int(differs.sum())
+    del sums
+    os.unlink(path("sums"))
+    kinds += 1
+    if kinds == len(stars):
+        return order
+    if len(stars) <= BASE:
+        return stars[_doubled(np.asarray(names))]
+    reduced = Numbers(path("reduced"), np.uint32)
+    for lo in range(0, len(names), BLOCK):
+        reduced.append(np.asarray(names[lo : lo + BLOCK]) + 1)
+    reduced.append(np.zeros(1))
+    shorter = reduced.mapped()
+    out = Numbers(path("order"))
+    for i, block in enumerate(_suffixes(shorter, _types(shorter, path("reduced_types")), kinds + 1, 1, folder, tag + "r")):
+        out.append(stars[block["pos"][1:] if i == 0 else block["pos"]])  # the first is the end sign
+    return out.mapped()
 
 
 def _suffixes(text: np.ndarray, stype: np.ndarray, sigma: int, depth: int, folder: str, tag: str) -> Iterator[np.ndarray]:
     stars = _sorted_stars(text, stype, sigma, folder, tag)
+    pool = Pool(os.path.join(folder, tag + "final"))
     seeds: dict[int, Queue] = {}
     for lo in range(0, len(stars), BLOCK):
-        own = stars[lo : lo + BLOCK]
-        prev = stars[max(lo - 1, 0) : lo + len(own) - 1]
+        own = np.asarray(stars[lo : lo + BLOCK])
+        prev = np.asarray(stars[max(lo - 1, 0) : lo + len(own) - 1])
         lcp = np.zeros(len(own), np.int64)
         if depth > 1:
             lcp[len(own) - len(prev) :] = _common(text, prev, own[len(own) - len(prev) :], depth)
@@ -355,9 +462,10 @@ def _suffixes(text: np.ndarray, stype: np.ndarray, sigma: int, depth: int, folde
         for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(chars)) + 1):
             c = int(chars[part[0]])
             if c not in seeds:
-                seeds[c] = Queue(folder, f"{tag}s{c}")
+                seeds[c] = Queue(pool)
             seeds[c].push(_entries(own[part], lcp[part]))
-    yield from _induce(text, stype, seeds, sigma, depth, folder, f"{tag}f")
+    yield from _induce(text, stype, seeds, sigma, depth, pool)
+    pool.close()
 
 
 def suffix_blocks(text: np.ndarray, depth: int, folder: str | None = None) -> Iterator[np.ndarray]:
@@ -368,8 +476,6 @@ def suffix_blocks(text: np.ndarray, depth: int, folder: str | None = None) -> It
     """
     own = tempfile.mkdtemp(dir=folder)
     try:
-        stype = np.lib.format.open_memmap(os.path.join(own, "types"), "w+", bool, (len(text),))
-        stype[:] = _types(text)
-        yield from _suffixes(text, stype, 256, depth, own, "")
+        yield from _suffixes(text, _types(text, os.path.join(own, "types")), 256, depth, own, "")
     finally:
         shutil.rmtree(own, ignore_errors=True)
