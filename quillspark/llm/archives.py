@@ -20,6 +20,7 @@ from quillspark.llm.common import rows_per_batch, settle, shared_dir
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 CHUNK_RECORDS = 2000  # index lines that one reader row covers
+HOT_ROWS, HOT_SHARE = 1000, 10_000  # a payload is hot from so many rows, and from one of so many of all rows
 
 
 def payload_digest(payload: bytes) -> str:
@@ -145,16 +146,22 @@ def _filesystem(folder: str):
 def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, force_zip64: bool = False) -> DataFrame:
     """Write one record a row into ZIP archives under folder; returns (path, n_records) of the archives.
 
-    Among rows of one payload of at least min_payload bytes those of the largest page_id are responses (null is least)
-    and the others revisit it; smaller payloads are all responses. A task streams its rows into one archive of its
+    Among rows of one payload of at least min_payload bytes those of the largest page_id are responses (null is least; rows
+    that repeat it are all responses) and the others revisit it; smaller payloads are all responses. Null html is empty,
+    other columns are not written. A task streams its rows into one archive of its
     attempt, which gets its final name when whole; a lost task is written again under another name, and only returned
     paths count. An empty table gives no archive.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    keepers = keyed.groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    # A hot payload: its rows spread over salted copies of its one keeper row, which AQE splits further where needed.
-    marked = keyed.join(keepers, "digest").select(
+    # A hot payload: its one keeper row is copied to salts, over which its rows spread. Payloads of more than `hot` rows are
+    # HOT_SHARE at most, whose numbers of salts are broadcast.
+    hot = max(HOT_ROWS, pages.count() // HOT_SHARE)
+    keepers = settle(keyed.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.ceil(F.count(F.lit(1)) / F.lit(hot)).cast("int").alias("salts")))
+    spread = keyed.join(F.broadcast(keepers.where("salts > 1").select("digest", "salts")), "digest", "left")
+    spread = spread.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = keepers.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    marked = spread.join(copies, ["digest", "salt"]).select(
         "page_id", "url", "payload", "keeper", ((F.octet_length("payload") < min_payload) | F.col("page_id").eqNullSafe(F.col("keeper"))).alias("own")
     )
 
@@ -207,7 +214,8 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     """Records of the archives at `path`: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     First the directories and indexes are read (a few ranges an archive), then stretches of index lines are dealt out
-    and each stretch's records fetched by range, unpacked and checked. Revisits have no payload of their own.
+    and each stretch's records fetched by range, unpacked and checked. Revisits have no payload of their own. No
+    archives: no rows; archives of one path are read each. A damaged archive or record raises ValueError.
     """
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import let
 
-#: Tokens are runs without white space; of one longer than LONG, each ideograph or kana is one, else up to 16 characters.
-LONG = 24
-CUT = r"[\u3040-\u30FF\u3400-\u9FFF]|[^\u3040-\u30FF\u3400-\u9FFF]{1,16}"
+#: A token is one ideograph or kana, or up to 16 other characters that are not white space.
+TOKEN = r"[\u3040-\u30FF\u3400-\u9FFF]|[^\s\u3040-\u30FF\u3400-\u9FFF]{1,16}"
 GROUPS, PICKS, K = 32, 2, 2
-_POS, _HASH = 24, 33  # bits of a position and of a hash in one sortable long
+_POS, _HASH = 30, 28  # bits of a position (a text has less than 2^30 tokens) and of a hash in one sortable long
 
 
 def fingerprint(text: Column, groups: int = GROUPS, picks: int = PICKS, k: int = K) -> Column:
     """Order MinHash of a text: comma-joined entries of two hex digits (the group) and eight (the tuple's hash).
 
-    Its k-token shingles are numbered by occurrence, hashed, and dealt to `groups` by hash; of each group the `picks`
+    Tokens are cut by one rule, whatever the text's length and script. Its k-token shingles are numbered by occurrence, hashed, and dealt to `groups` by hash; of each group the `picks`
     least hashes are kept, put back in text order, and their shingles hashed as a tuple. Equal texts get equal
     fingerprints; null and tokenless texts get the empty string. A group without shingles has no entry.
     """
@@ -27,13 +26,7 @@ def fingerprint(text: Column, groups: int = GROUPS, picks: int = PICKS, k: int =
     none = F.expr("cast(array() as array<int>)")
     kind = lambda x: F.shiftright(x, _POS)
     group = lambda x: F.shiftright(x, _POS + _HASH)
-    runs = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-
-    def cut(found: Column) -> Column:
-        parts = F.flatten(F.transform(found, lambda t: F.when(F.length(t) > LONG, F.regexp_extract_all(t, F.lit(CUT), F.lit(0))).otherwise(F.array(t))))
-        return F.when(F.exists(found, lambda t: F.length(t) > LONG), parts).otherwise(found)
-
-    hashes = F.transform(let(runs, cut), lambda t: F.xxhash64(t))
+    hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
     place = lambda e, x: F.shiftleft(e.bitwiseAND(span), _POS).bitwiseOR(x)
 
