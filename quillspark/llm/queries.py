@@ -90,7 +90,7 @@ _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL where it can state the result; the others are tested against brute force."""
+    """DuckDB SQL where it can state the result; tests/llm holds the operators of the others against plain Python."""
     return {
         "op1_line_dedup": rf"""
             WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

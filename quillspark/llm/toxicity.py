@@ -156,7 +156,9 @@ def distinct_rows(rows: list[np.ndarray], similarity: float = COPY) -> list[int]
 def train(docs: DataFrame, labels: DataFrame, n_grades: int = GRADES, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on about sample_rows rows at most (by a hash of doc_id) that have a toxic label; null labels teach nothing.
 
-    Word features of whole texts are made on the executors; only the sample's feature numbers reach the driver.
+    Word features of whole texts are made on the executors; only the sample's feature numbers reach the driver. Rows of
+    one doc_id in labels: toxic if any says so; repeated documents and other copies teach once. Null doc_ids teach
+    nothing. Without rows, or with rows of one label only, the model knows no feature and rates all texts alike.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = known.count()
@@ -182,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = GRADES, sample_row
 def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs with p_toxic (P(grade > 0)), expected_severity (0 to n_grades - 1), severity (likeliest grade) and toxic (p_toxic at the model's cut or above).
 
-    Null and wordless texts get the model's base rate, for which no feature speaks. Whole texts are read; other columns stay.
+    Null and wordless texts get the model's base rate, for which no feature speaks. Of equally likely grades the lower
+    one is taken; equal texts get equal rates. Whole texts are read; other columns stay, the four added ones replace any
+    of their names; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
