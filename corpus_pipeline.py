@@ -12,16 +12,31 @@ from quillspark.llm.common import same_schema, settle, shared_dir
 from quillspark.llm.queries import tokenizer_path
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """What an operator reads, and all columns but text in one: no column of the table clashes with an operator's own."""
+    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"))
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, with the operator's text and its length."""
+    own = {"text": F.col("text"), "n_chars": F.length("text")}
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return out.select(*[own.get(c, F.col(f"others.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language a calibrated model accepts; learned from the labelled rows outside the held-out fold."""
+    """Documents whose language a calibrated model accepts; learned from the labelled rows outside the held-out fold.
+
+    Null, empty and letterless texts go. With no labelled row there is no model, and no document is accepted.
+    """
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    return same_schema(langid.identify(docs, model).where("not rejected"), docs)
+    return _back(langid.identify(_bare(docs), model).where("not rejected"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that five or more of them hold; one that nothing is left of goes."""
-    kept = lines.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return same_schema(kept.withColumn("n_chars", F.length("text").cast("long")), docs)
+    kept = lines.dedup_lines(_bare(docs)).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    return _back(kept, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +54,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages cut out; those that are mostly such passages go."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontam.decontaminate(docs, tests).where("not dropped")
-    return same_schema(out.withColumn("n_chars", F.length("text").cast("long")), docs)
+    return _back(decontam.decontaminate(_bare(docs), tests).where("not dropped"), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
     return packing.pack(packing.tokenize(docs, tokenizer_path()))
 
 
@@ -55,7 +70,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language scores and samples are not SQL; tests check each stage against brute force.
+#: Language scores and weighted samples are not SQL; tests/llm/test_pipeline.py holds each stage, and run(), against plain Python.
 ORACLE_SQL = None
 
 
