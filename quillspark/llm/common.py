@@ -75,6 +75,12 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def others(docs: DataFrame, *replaced: str):
+    """All columns but text, and but those that an operator replaces, in one struct: texts travel once."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in replaced]
+    return F.struct(*(kept or [F.lit(None).cast("int").alias("none")]))
+
+
 def same_schema(df: DataFrame, like: DataFrame) -> DataFrame:
     """df's columns in the order of like."""
     return df.select(*[F.col(f"`{c}`") for c in like.columns])

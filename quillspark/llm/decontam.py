@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import rows_per_batch, words
+from quillspark.llm.common import others, rows_per_batch, words
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -149,7 +149,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """
     sc = docs.sparkSession.sparkContext
     tests = [sc.broadcast(a) for a in automata(benchmark, window)]
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    added = ("n_words", "n_hit", "n_items", "items", "dropped")
+    rows = docs.select(others(docs, *added).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_per_batch(batches):
@@ -167,7 +168,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", "kept", "n_words", "n_hit", "n_items", "items", "dropped"])
 
-    added = ("n_words", "n_hit", "n_items", "items", "dropped")
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_hit long, n_items long, items array<string>, dropped boolean")
     return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, rows_per_batch, settle
+from quillspark.llm.common import mix, others, rows_per_batch, settle
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 4
@@ -317,16 +317,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     columns stay, the three added ones replace any of their names; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    added = ("lang_pred", "score", "rejected")
+    rows = docs.select(others(docs, *added).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_per_batch(batches, 2 << 20):
             lang, score, rejected = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "text", *added])
 
-    added = ("lang_pred", "score", "rejected")
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
 
 
 def held_out(doc_id: Column) -> Column:

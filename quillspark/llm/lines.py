@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, rows_per_batch, settle
+from quillspark.llm.common import mix, others, rows_per_batch, settle
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of one shard, shards at most (their sizes are broadcast), and probes that one copy of a shard answers.
@@ -194,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """
     keys = settle(document_keys(docs, min_chars))
     lost = probe_index(keys, build_index(keys, min_docs)).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    rows = docs.select(others(docs, "n_lines", "n_dropped").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     joined = rows.join(lost.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "text", "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,5 +214,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     kind = rows.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(run, f"row {kind}, kept string, n_lines long, n_dropped long")
-    others = [F.col(f"row.`{c}`") if c != "text" else F.col("kept").alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*others, "n_lines", "n_dropped")
+    own = [F.col(f"row.`{c}`") if c != "text" else F.col("kept").alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, "n_lines", "n_dropped")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, rows_per_batch, settle
+from quillspark.llm.common import mix, others, rows_per_batch, settle
 
 LENGTH, ANCHOR, SHARD_BYTES, BLOCK = 200, 32, 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -199,7 +199,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("spans", i)).alias("lo"), (F.col("start") + F.get("spans", i + 1) + length).alias("hi")))
     hits = seen.select("m", "c", "u", "start").distinct().join(found, ["m", "c"]).select("u", pairs.alias("spans"))
     by_text = hits.groupBy("u").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), _text_key().alias("u_"))
+    added = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
+    whole = docs.select(others(docs, *added).alias("row"), F.col("text").alias("text"), _text_key().alias("u_"))
     joined = whole.join(by_text.hint("shuffle_hash"), F.col("u_") == F.col("u"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +222,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 for c, v in zip(cols, (b"".join(kept), len(data), sum(b - a for a, b in merged), len(merged), merged), strict=True):
                     c.append(v)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", "text", *added])
 
-    added = ("kept", "n_bytes", "n_removed", "n_spans", "spans")
-    out = joined.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long, spans array<array<long>>")
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+    out = joined.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long, spans array<array<long>>")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
 

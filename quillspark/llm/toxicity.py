@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, rows_per_batch, words
+from quillspark.llm.common import others, rows_per_batch, words
 
 #: Features are 32-bit word hashes; training reads about SAMPLE_ROWS labelled rows at most.
 SAMPLE_ROWS, GRADES = 8000, 3
@@ -189,7 +189,8 @@ def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     of their names; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    added = ("p_toxic", "expected_severity", "severity", "toxic")
+    rows = docs.select(others(docs, *added).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
@@ -198,8 +199,7 @@ def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             p = m.above(s)
             ext = np.concatenate([np.ones((len(s), 1)), p, np.zeros((len(s), 1))], 1)
             cols = [pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((ext[:, :-1] - ext[:, 1:]).argmax(1).astype(np.int32)), pa.array(p[:, 0] >= m.cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["row", "text", *added])
 
-    added = ("p_toxic", "expected_severity", "severity", "toxic")
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, p_toxic double, expected_severity double, severity int, toxic boolean")
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, p_toxic double, expected_severity double, severity int, toxic boolean")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
