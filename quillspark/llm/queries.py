@@ -128,6 +128,19 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(n + CASE WHEN same THEN 11 ELSE 13 + length(role) + 11 END)::BIGINT AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op6_suffix_dedup": """
+            WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS d FROM documents),
+            p AS (SELECT doc_id, i, md5(d[i : i + 199]) AS h FROM (SELECT doc_id, d, unnest(range(1, octet_length(d) - 198)) AS i FROM b)),
+            again AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+            hit AS (SELECT doc_id, i, (i > 200 + lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i))::INT AS opens FROM p SEMI JOIN again USING (h)),
+            runs AS (SELECT doc_id, min(i) AS lo, max(i) + 199 AS hi FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit) GROUP BY doc_id, run),
+            cuts AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM runs),
+            parts AS (SELECT c.doc_id, lo, hex(d[before + 1 : lo - 1]) AS x FROM cuts c JOIN b USING (doc_id) WHERE lo > before + 1
+                      UNION ALL SELECT doc_id, 1 + octet_length(d), hex(d[coalesce(last, 0) + 1 : octet_length(d)]) FROM b LEFT JOIN (SELECT doc_id, max(hi) AS last FROM runs GROUP BY doc_id) USING (doc_id) WHERE octet_length(d) > coalesce(last, 0)),
+            kept AS (SELECT doc_id, string_agg(x, '' ORDER BY lo) AS x FROM parts GROUP BY doc_id),
+            sums AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+            SELECT doc_id, octet_length(d)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+            FROM b LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
         "op9_warc_zip": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             k AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keeper FROM p),
