@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import others, rows_per_batch, words
+from quillspark.llm.common import others, rows_per_batch, settle, words
 
+#: Words of one automaton, and automata that are broadcast at once.
+BLOCK_WORDS, BLOCKS = 2_000_000, 4
+ADDED = ("n_words", "n_hit", "n_items", "items", "dropped")
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -111,17 +114,21 @@ class SuffixAutomaton:
         return hit, items
 
 
-def automata(benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> list[SuffixAutomaton]:
-    """Automata of the whole benchmark, in blocks of about block_words words: the stated query set, read once by the driver."""
-    out, block, size = [], [], 0
+def automata(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
+    """Automata of the whole benchmark, in blocks of about block_words words: the stated query set, read once by the driver.
+
+    Items come one after the other and an automaton is built when its block is full, so the driver holds one block.
+    """
+    block, size, none = [], 0, True
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
         ws = words(r["t"])
         if block and size + len(ws) > block_words:
-            out.append(SuffixAutomaton(block, window))
-            block, size = [], 0
+            yield SuffixAutomaton(block, window)
+            block, size, none = [], 0, False
         block.append((r["i"] or "", ws))
         size += len(ws)
-    return [*out, SuffixAutomaton(block, window)]
+    if block or none:
+        yield SuffixAutomaton(block, window)
 
 
 def cleaned(text: str, hit: np.ndarray) -> str:
@@ -138,38 +145,66 @@ def cleaned(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
-    """docs with test passages cut out of text, and n_words, n_hit, n_items (long), items (sorted array), dropped (boolean).
+def _runs(hit: np.ndarray) -> list[int]:
+    """Starts and ends of the runs of hit words, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
 
-    A word is hit if it lies in an occurrence of `window` consecutive words of an item (an item of fewer, but not none,
-    is one window). Runs of hit words are removed; a document whose hit share exceeds max_coverage is marked dropped.
-    Null text has no words and stays null. Repeated items count once, as do rows of one item_id; null item_id: "".
-    Documents are read in one pass without a shuffle; only automata of the benchmark (blocks of bounded size) are
-    broadcast. Other columns stay; the five added ones replace any of their names.
-    """
-    sc = docs.sparkSession.sparkContext
-    tests = [sc.broadcast(a) for a in automata(benchmark, window)]
-    added = ("n_words", "n_hit", "n_items", "items", "dropped")
-    rows = docs.select(others(docs, *added).alias("row"), F.col("text").alias("text"))
+
+def _read(rows: DataFrame, tests: list, ends: bool, max_coverage: float) -> DataFrame:
+    """rows (row, text, runs, items) with the runs and items of some automata added; at the end with the result's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_per_batch(batches):
-            cols: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(1).to_pylist():
+            cols: list[list] = [[] for _ in kinds]
+            for text, runs, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 found = words(text)
-                hit, items = np.zeros(len(found), bool), set()
+                hit, items = np.zeros(len(found), bool), set(known or ())
+                for lo, hi in zip(runs[::2], runs[1::2], strict=True) if runs else ():
+                    hit[lo:hi] = True
                 for a in tests:
                     h, i = a.value.hits(found)
                     hit |= h
                     items |= i
                 n = int(hit.sum())
-                for c, v in zip(cols, (cleaned(text, hit) if n else text, len(found), n, len(items), sorted(items), n > max_coverage * len(found)), strict=True):
+                if ends:
+                    own = (cleaned(text, hit) if n else text, len(found), n, len(items), sorted(items), n > max_coverage * len(found))
+                else:
+                    own = (text, _runs(hit), sorted(items))
+                for c, v in zip(cols, own, strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", "kept", "n_words", "n_hit", "n_items", "items", "dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", *names])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_hit long, n_items long, items array<string>, dropped boolean")
-    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+    if ends:
+        names, kinds = ["kept", *ADDED], (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+        more = "kept string, n_words long, n_hit long, n_items long, items array<string>, dropped boolean"
+    else:
+        names, kinds, more = ["text", "runs", "items"], (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())), "text string, runs array<long>, items array<string>"
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {more}")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, block_words: int = BLOCK_WORDS, blocks: int = BLOCKS) -> DataFrame:
+    """docs with test passages cut out of text, and n_words, n_hit, n_items (long), items (sorted array), dropped (boolean).
+
+    A word is hit if it lies in an occurrence of `window` consecutive words of an item (an item of fewer, but not none,
+    is one window). Runs of hit words are removed; a document whose hit share exceeds max_coverage is marked dropped.
+    Null text has no words and stays null. Repeated items count once, as do rows of one item_id; null item_id: "".
+    Documents are read in one pass without a shuffle, past automata of `blocks` blocks of about block_words words each,
+    which are broadcast; a larger benchmark takes a pass, written as a table, for each further `blocks` blocks. Other
+    columns stay; the five added ones replace any of their names. Empty tables: no rows, or no hit.
+    """
+    sc = docs.sparkSession.sparkContext
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("runs", "array<long>"), ("items", "array<string>"))]
+    rows = docs.select(others(docs, *ADDED).alias("row"), F.col("text").alias("text"), *none)
+    held: list = []
+    for automaton in automata(benchmark, window, block_words):
+        if len(held) == blocks:
+            rows = settle(_read(rows, held, False, max_coverage))
+            for b in held:
+                b.unpersist()
+            held = []
+        held.append(sc.broadcast(automaton))
+    out = _read(rows, held, True, max_coverage)
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def items_digest(items: Iterable[str]) -> str:

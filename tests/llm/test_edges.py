@@ -44,6 +44,27 @@ def test_decontamination(spark):
     assert {r.n_hit for r in none.collect()} == {0} and decontam.decontaminate(table(spark, rows).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 9])
+def test_decontamination_in_several_passes(spark, blocks):
+    items = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(4 + i % 13))) for i in range(30)]
+    rows = [(k, " ".join(f"w{(k * 3 + j * (1 + k % 2)) % 44}" for j in range(60)), f"x{k}") for k in range(12)] + [(99, None, "x")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string, runs string")
+    one = decontam.decontaminate(docs, bench, 6).orderBy("doc_id").collect()
+    assert one == decontam.decontaminate(docs, bench, 6, block_words=40, blocks=blocks).orderBy("doc_id").collect()
+    for r, (_, text, _) in zip(one, rows, strict=True):
+        ws = (text or "").split()
+        hit, found = set(), set()
+        for i, item in items:
+            w = item.split()
+            for p in range(max(len(w) - 6, 0) + 1):
+                own = w[p : p + 6]
+                for q in range(len(ws) - len(own) + 1):
+                    if ws[q : q + len(own)] == own:
+                        hit |= set(range(q, q + len(own)))
+                        found.add(str(i))
+        assert (r.n_words, r.n_hit, r["items"]) == (len(ws), len(hit), sorted(found))
+
+
 def test_repeats(spark):
     body = "".join(chr(97 + i * i % 23) + str(i) for i in range(200))
     rows = [(1, body), (None, body), (2, None), (3, ""), (4, "x" * 199), (5, "y" * 200), (6, "z" * 201), (7, "own " + body[:230] + " end"), (8, "日本" * 100 + "語" * 40)]
