@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +31,35 @@ def lit_class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in chars) + "]"
 
 
+_PLAIN: ContextVar[bool | None] = ContextVar("plain", default=None)
+
+
+def by_script(c: Column, build: Callable[[Column], Column]) -> Column:
+    """build(c), built twice: once for texts of ASCII alone, whose patterns need no Unicode tables. Both give the same."""
+    if _PLAIN.get() is not None:
+        return build(c)
+
+    def built(x: Column, plain: bool) -> Column:
+        token = _PLAIN.set(plain)
+        try:
+            return build(x)
+        finally:
+            _PLAIN.reset(token)
+
+    return once(c, lambda x: F.when(F.octet_length(x) == F.length(x), built(x, True)).otherwise(built(x, False)))
+
+
+def _p(pattern: str) -> str:
+    """The pattern, for texts of ASCII alone without its Unicode flag and characters beyond ASCII (but for U+E000)."""
+    if not _PLAIN.get():
+        return pattern
+    out = re.sub("[\x80-\ud7ff\uf900-\uffff]", "", re.sub("[㐀-鿿]-?[㐀-鿿]", "", pattern))
+    return out.replace("(?U)", "").replace("(?iU)", "(?i)")
+
+
 def strip(c: Column) -> Column:
+    if _PLAIN.get():
+        return F.trim(c, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
@@ -38,7 +70,7 @@ def once(c: Column, then) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words between white space, without empty ones."""
-    return F.filter(F.split(c, WHITE + "+"), lambda x: x != "")
+    return F.regexp_extract_all(c, F.lit(_p(r"(?U)[^\s\x1c-\x1f]+")), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -51,8 +83,8 @@ def clean_text(c: Column) -> Column:
         (r"\r", "\n"),
         (r"(?U)(?<=\w)-[\s\x1c-\x1f]*\n[\s\x1c-\x1f]*(?=\w)", ""),
         (r"\(cid:\d+\)", " "),
-        (lit_class(ARTIFACTS) + "+", " "),
-        (r"[ \t]+", " "),
+        *([] if _PLAIN.get() else [(lit_class(ARTIFACTS) + "+", " ")]),
+        (r"[ \t]{2,}|\t", " "),
         (r"\n{3,}", "\n\n"),
         (WHITE + r"+([,.;:!?])", "$1"),
         (r"(?U)\([\s\x1c-\x1f]+", "("),
@@ -60,15 +92,15 @@ def clean_text(c: Column) -> Column:
     ]
     out = F.coalesce(c, F.lit(""))
     for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
+        out = F.regexp_replace(out, _p(pattern), by)
     return strip(out)
 
 
 def protect(c: Column) -> Column:
     """Dots of abbreviations become U+E000, so that they end no sentence."""
-    out = F.regexp_replace(c, r"(?iU)\b(figs?|eqs?|refs?|dr|mr|mrs|ms|prof|vs|approx|et[\s\x1c-\x1f]+al)\.", "$1\ue000")
+    out = F.regexp_replace(c, _p(r"(?iU)\b(figs?|eqs?|refs?|dr|mr|mrs|ms|prof|vs|approx|et[\s\x1c-\x1f]+al)\."), "$1\ue000")
     for a, b in (("e", "g"), ("i", "e")):
-        out = F.regexp_replace(out, rf"(?iU)\b({a})\.({b})\.", "$1\ue000$2\ue000")
+        out = F.regexp_replace(out, _p(rf"(?iU)\b({a})\.({b})\."), "$1\ue000$2\ue000")
     return out
 
 
@@ -84,19 +116,20 @@ def is_heading(line: Column) -> Column:
         bare, plain = s["bare"], s["plain"]
         n = word_count(plain)
         capitals = (F.upper(plain) == plain) & (F.lower(plain) != plain)
-        return F.lower(plain).isin(HEADINGS) | ((n <= 10) & capitals) | ((bare != plain) & (n <= 12) & ~bare.rlike(ENDED))
+        return F.lower(plain).isin(HEADINGS) | (capitals & (n <= 10)) | ((bare != plain) & ~bare.rlike(_p(ENDED)) & (n <= 12))
 
     bare = F.regexp_replace(strip(line), "^:+|:+$", "")
-    return once(once(bare, lambda b: F.struct(b.alias("bare"), F.regexp_replace(b, numbered, "").alias("plain"))), judged)
+    return once(once(bare, lambda b: F.struct(b.alias("bare"), F.regexp_replace(b, _p(numbered), "").alias("plain"))), judged)
 
 
 def is_complete(c: Column) -> Column:
-    return strip(c).rlike(ENDED)
+    return strip(c).rlike(_p(ENDED))
 
 
 def text_lines(c: Column) -> Column:
     """Array of the stripped lines that are not blank."""
-    return F.filter(F.transform(F.split(c, LINE_ENDS), strip), lambda x: x != "")
+    ends = "[\n\x0b\x0c\x1c-\x1e]" if _PLAIN.get() else LINE_ENDS
+    return F.filter(F.transform(F.split(c, ends), strip), lambda x: x != "")
 
 
 def logical_lines(c: Column) -> Column:
@@ -105,7 +138,11 @@ def logical_lines(c: Column) -> Column:
     A line begins a new one if it is a heading or a bullet, or if the line before it is a heading or ends a sentence
     (abbreviations do not). So each line looks at its neighbour only, and no text is built up step by step.
     """
-    bullet = r"(?U)^([-•·]|\d+[.)])[\s\x1c-\x1f]+"
+    return by_script(c, _logical_lines)
+
+
+def _logical_lines(c: Column) -> Column:
+    bullet = _p(r"(?U)^([-•·]|\d+[.)])[\s\x1c-\x1f]+")
 
     def marked(x: Column) -> Column:
         heading = is_heading(restore(x))
@@ -114,7 +151,7 @@ def logical_lines(c: Column) -> Column:
             lambda h: F.struct(
                 F.when(h, x).otherwise(strip(F.regexp_replace(x, bullet, ""))).alias("line"),
                 (h | x.rlike(bullet)).alias("opens"),
-                (h | x.rlike(ENDED)).alias("ends"),
+                (h | x.rlike(_p(ENDED))).alias("ends"),
             ),
         )
 
@@ -136,30 +173,36 @@ def logical_lines(c: Column) -> Column:
 
 def _quality(s: Column, most_words: int, metadata: list[str], markers: list[str], symbols: str, most_symbols: int, least_alpha: float) -> Column:
     """True for a sentence that a filter rejects; the two filters differ in the arguments."""
-    cjk = F.regexp_count(s, F.lit(CJK))
-    is_cjk = cjk >= 6
-    words = word_count(s)
     low = F.lower(s)
-    singles = F.size(F.filter(tokens(s), lambda w: F.length(w) == 1))
     hits = sum((F.contains(low, F.lit(m)).cast("int") for m in markers), F.lit(0))
-    return (
-        ~is_complete(s)
-        | (is_cjk & (cjk < 8))
-        | (is_cjk & (F.length(s) > 450))
-        | (~is_cjk & ((words < 4) | (words > most_words)))
-        | low.rlike("|".join(metadata))
+    has = [F.contains(low, F.lit(m)) for m in metadata]
+    letters = F.length(F.regexp_replace(s, "[^a-zA-Z]+" if _PLAIN.get() else r"\P{L}+", ""))
+    common = (
+        (letters / F.greatest(F.length(s), F.lit(1)) < least_alpha)
+        | (F.regexp_count(s, F.lit(_p(lit_class(symbols)))) > most_symbols)
+        | (s.rlike(r"\p{Nd}") & (F.regexp_count(s, F.lit(_p(r"(?U)\b\d+(\.\d+)?\b"))) > 8))
         | (hits >= 2)
-        | (F.regexp_count(s, F.lit(lit_class(symbols))) > most_symbols)
-        | (F.regexp_count(s, F.lit(r"(?U)\b\d+(\.\d+)?\b")) > 8)
-        | (~is_cjk & (singles / F.greatest(words, F.lit(1)) > 0.22))
-        | (F.length(F.regexp_replace(s, r"\P{L}", "")) / F.greatest(F.length(s), F.lit(1)) < least_alpha)
     )
+    for h in has:
+        common = common | h
+
+    def by_words(words: Column) -> Column:
+        n = F.size(words)
+        singles = F.size(F.filter(words, lambda w: F.length(w) == 1))
+        return (n < 4) | (n > most_words) | (singles / F.greatest(n, F.lit(1)) > 0.22)
+
+    if _PLAIN.get():
+        return ~is_complete(s) | once(tokens(s), by_words) | common
+    cjk = F.regexp_count(s, F.lit(CJK))
+    return ~is_complete(s) | once(cjk, lambda n: F.when(n >= 6, (n < 8) | (F.length(s) > 450)).otherwise(once(tokens(s), by_words))) | common
 
 
 def is_noisy(c: Column) -> Column:
     def judged(s: Column) -> Column:
-        artifacts = F.regexp_count(s, F.lit(lit_class(ARTIFACTS))) + F.regexp_count(s, F.lit("�"))
-        return _quality(s, 90, NOISE_METADATA, NOISE_MARKERS, NOISE_SYMBOLS, 6, 0.48) | (artifacts > 1) | s.rlike(r"^\d{5,}-\d+")
+        out = _quality(s, 90, NOISE_METADATA, NOISE_MARKERS, NOISE_SYMBOLS, 6, 0.48) | s.rlike(r"^\d{5,}-\d+")
+        if _PLAIN.get():
+            return out
+        return out | (F.regexp_count(s, F.lit(lit_class(ARTIFACTS))) + F.regexp_count(s, F.lit("�")) > 1)
 
     return once(strip(F.coalesce(c, F.lit(""))), judged)
 
@@ -170,10 +213,16 @@ def is_bad_for_summary(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Array of the text's sentences in order: cut at end marks, headings and noisy sentences dropped."""
+    return by_script(c, _sentences)
+
+
+def _sentences(c: Column) -> Column:
     body = F.filter(logical_lines(c), lambda x: ~is_heading(x))
     ends = r"(?U)([.!?。！？]" + CLOSERS + r")(?=[\s\x1c-\x1f]|$|" + CJK + ")"
+    if _PLAIN.get():
+        ends = r"([.!?][\"')\]}]*)(?=[\s\x1c-\x1f]|$)"
     cut = F.flatten(F.transform(body, lambda x: F.split(F.regexp_replace(protect(x), ends, "$1" + MARK), MARK)))
-    neat = F.transform(cut, lambda x: restore(F.regexp_replace(strip(x), WHITE + "+", " ")))
+    neat = F.transform(cut, lambda x: restore(F.regexp_replace(strip(x), _p(WHITE + "+"), " ")))
     return F.filter(neat, lambda x: (x != "") & ~is_noisy(x))
 
 
@@ -222,32 +271,63 @@ def contains_intent(c: Column, term: str) -> Column:
     return F.lower(c).rlike(r"(?U)(?<!\w)" + _escaped(term) + r"(?!\w)")
 
 
-def term_words(c: Column) -> Column:
-    """(low, words) of a text: the case-folded text and its distinct runs of ASCII letters and digits, for the lookups below."""
-    return F.struct(F.lower(c).alias("low"), F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
+def _runs(term: str) -> list[str]:
+    """The runs of ASCII letters and digits that a text with the term has as whole words; CJK terms have none for certain."""
+    return [] if _has_cjk(term) else re.findall("[a-z0-9]+", term.lower().strip())
+
+
+def term_words(c: Column, terms: list[str] | None = None) -> Column:
+    """(low, words) of a text: the case-folded text and its distinct runs of ASCII letters and digits, for the lookups below.
+
+    With terms only runs that one of them has are kept, which is all that lookups of these terms need.
+    """
+
+    def of(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+        if terms is not None:
+            words = F.filter(words, _among(sorted({"", *(r for t in terms for r in _runs(t))})))
+        return F.struct(low.alias("low"), F.coalesce(F.array_distinct(words), F.expr("cast(array() as array<string>)")).alias("words"))
+
+    return once(F.lower(c), of)
+
+
+def _seen(seen: Column, term: str) -> Column:
+    """Whether a term_words value has a term that is not one word; the pattern is tried only where its longest word is."""
+    runs = _runs(term)
+    found = _found(seen["low"], term)
+    return F.when(F.array_contains(seen["words"], max(runs, key=len)), found).otherwise(False) if runs else found
+
+
+def _among(words: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(words)
 
 
 def words_have_any(seen: Column, terms: list[str]) -> Column:
     """Whether a term_words value has one of the terms: words by lookup, other terms by pattern."""
     words = sorted({t.lower().strip() for t in terms if _one_word(t.strip())})
-    found = [F.arrays_overlap(seen["words"], F.array(*map(F.lit, words)))] if words else []
-    found += [_found(seen["low"], t) for t in terms if not _one_word(t.strip())]
+    found = [F.exists(seen["words"], _among(words))] if words else []
+    found += [_seen(seen, t) for t in terms if not _one_word(t.strip())]
     return F.coalesce(*[F.when(f, F.lit(True)) for f in found], F.lit(False))
 
 
 def words_count(seen: Column, terms: list[str]) -> Column:
     """How many of the terms a term_words value has; a term listed twice counts twice."""
-    words = [t.lower().strip() for t in terms if _one_word(t.strip())]
-    out = F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.array_contains(seen["words"], w))) if words else F.lit(0)
-    return sum((_found(seen["low"], t).cast("int") for t in terms if not _one_word(t.strip())), out)
+    left = [t.lower().strip() for t in terms if _one_word(t.strip())]
+    out = F.lit(0)
+    while left:
+        words = sorted(set(left))
+        out = out + F.size(F.filter(seen["words"], _among(words)))
+        for w in words:
+            left.remove(w)
+    return sum((_seen(seen, t).cast("int") for t in terms if not _one_word(t.strip())), out)
 
 
 def any_term(c: Column, terms: list[str]) -> Column:
-    return once(term_words(c), lambda s: words_have_any(s, terms))
+    return once(term_words(c, terms), lambda s: words_have_any(s, terms))
 
 
 def count_terms(c: Column, terms: list[str]) -> Column:
-    return once(term_words(c), lambda s: words_count(s, terms))
+    return once(term_words(c, terms), lambda s: words_count(s, terms))
 
 
 CITATION = r"(?U)\[[\d,\-\s\x1c-\x1f]+\]"
@@ -255,13 +335,13 @@ CITATION = r"(?U)\[[\d,\-\s\x1c-\x1f]+\]"
 
 def strip_citations(c: Column) -> Column:
     """Without marks such as [1], [2,3] and [4-6], repeated white space and blanks before punctuation."""
-    out = F.regexp_replace(strip(c), CITATION, "")
-    return strip(F.regexp_replace(F.regexp_replace(out, WHITE + "+", " "), r" +([,.;:!?])", "$1"))
+    out = F.regexp_replace(strip(c), _p(CITATION), "")
+    return strip(F.regexp_replace(F.regexp_replace(out, _p(WHITE + "+"), " "), r" +([,.;:!?])", "$1"))
 
 
 def normalize_heading(c: Column) -> Column:
-    out = F.regexp_replace(F.lower(strip(c)), r"(?U)^[\s\x1c-\x1f]*(\d+|[ivxlcdm]+)\.?[\s\x1c-\x1f]+", "")
-    return strip(F.regexp_replace(F.regexp_replace(out, r"(?U)[^a-z\s\x1c-\x1f]", ""), WHITE + "+", " "))
+    out = F.regexp_replace(F.lower(strip(c)), _p(r"(?U)^[\s\x1c-\x1f]*(\d+|[ivxlcdm]+)\.?[\s\x1c-\x1f]+"), "")
+    return strip(F.regexp_replace(F.regexp_replace(out, _p(r"(?U)[^a-z\s\x1c-\x1f]+"), ""), _p(WHITE + "+"), " "))
 
 
 def section_of(line: Column, aliases: dict[str, list[str]]) -> Column:

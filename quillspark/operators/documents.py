@@ -29,7 +29,7 @@ def page_passages(pages: DataFrame, max_words: int = 120) -> DataFrame:
 def term_hits(docs: DataFrame, groups: dict[str, list[str]], text: str = "text") -> DataFrame:
     """(doc_id, term_group, hits): how many of a group's terms a text has."""
     pairs = T.once(
-        T.term_words(F.coalesce(F.col(text), F.lit(""))),
+        T.term_words(F.coalesce(F.col(text), F.lit("")), [t for terms in groups.values() for t in terms]),
         lambda seen: F.array(*[F.struct(F.lit(g).alias("term_group"), T.words_count(seen, terms).cast("long").alias("hits")) for g, terms in groups.items()]),
     )
     return docs.select("doc_id", F.explode(F.filter(pairs, lambda p: p["hits"] > 0)).alias("h")).select("doc_id", "h.*")
@@ -41,11 +41,12 @@ def domain_hints(docs: DataFrame, groups: dict[str, list[str]] = L.DOMAIN, most:
     A category without one has a row with null hint_no and hint. Built in the row. With pages (doc_id, page_number,
     page_text) a column page_number says where the sentence stands.
     """
+    every = [t for ts in groups.values() for t in ts]
     tagged = F.transform(
         T.sentences(F.col("text")),
         lambda x: F.struct(
             x.alias("sentence"),
-            T.once(T.term_words(x), lambda seen: F.filter(F.array(*[F.when(T.words_have_any(seen, ts), F.lit(g)) for g, ts in groups.items()]), lambda g: g.isNotNull())).alias("of"),
+            T.once(T.term_words(x, every), lambda seen: F.filter(F.array(*[F.when(T.words_have_any(seen, ts), F.lit(g)) for g, ts in groups.items()]), lambda g: g.isNotNull())).alias("of"),
         ),
     )
 
@@ -64,6 +65,10 @@ def section_array(c: Column, aliases: dict[str, list[str]]) -> Column:
 
     `references` is skipped, body is first, then sections follow by their first heading; those without lines are left out.
     """
+    return T.by_script(c, lambda x: _section_array(x, aliases))
+
+
+def _section_array(c: Column, aliases: dict[str, list[str]]) -> Column:
     lines = F.transform(T.text_lines(T.clean_text(c)), lambda x: F.struct(x.alias("line"), T.section_of(x, aliases).alias("heading")))
 
     def parts(rows: Column) -> Column:
@@ -96,7 +101,10 @@ def sections(docs: DataFrame, aliases: dict[str, list[str]] = L.SECTION_ALIASES,
 
 def candidate_array(c: Column, aliases: dict[str, list[str]]) -> Column:
     """Array of (section, position, ord, sentence): sentences of the sections, citations stripped, fit for a summary."""
+    return T.by_script(c, lambda x: _candidate_array(x, aliases))
+
 
+def _candidate_array(c: Column, aliases: dict[str, list[str]]) -> Column:
     def of_section(s: Column) -> Column:
         rows = F.transform(
             T.sentences(s["section_text"]), lambda x, i: F.struct(s["section"].alias("section"), i.alias("position"), T.strip_citations(x).alias("sentence"))

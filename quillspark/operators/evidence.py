@@ -55,7 +55,7 @@ def role_bonus(sentence: Column, roles: dict[str, list[str]] = L.ROLES, domain:
         hits = T.words_count(seen, [t for terms in domain.values() for t in terms])
         return 0.25 * named + F.least(0.06 * hits, F.lit(0.36))
 
-    return T.once(T.term_words(sentence), of)
+    return T.once(T.term_words(sentence, [t for terms in [*roles.values(), *domain.values()] for t in terms]), of)
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -147,7 +147,7 @@ def answer_bonus(sentence: Column, question_type: Column, terms: dict[str, list[
         hits = F.coalesce(*[F.when(question_type == t, T.words_count(seen, ws)) for t, ws in terms.items() if ws], F.lit(0))
         return F.least(0.08 * hits + F.when(T.words_have_any(seen, L.CLAIMS), 0.15).otherwise(0.0), F.lit(0.5))
 
-    return T.once(T.term_words(sentence), of)
+    return T.once(T.term_words(sentence, [t for ws in [*terms.values(), L.CLAIMS] for t in ws]), of)
 
 
 def strength(answer_score: Column, passage_score: Column) -> Column:
@@ -266,19 +266,27 @@ def answer_texts(passages: DataFrame, queries: DataFrame, names: DataFrame, top:
     )
 
 
-def dimension_score(sentence: Column, dimension: str, terms: list[str]) -> Column:
-    def of(seen: Column) -> Column:
-        score = T.words_count(seen, terms) * F.lit(1.0)
-        if dimension == "Parameters / settings":
-            units = r"(?U)\b\d+(\.\d+)?[\s\x1c-\x1f]?(" + "|".join(L.UNITS) + r")\b"
-            score = score + 1.5 * F.regexp_count(sentence, F.lit(units)) + F.when(T.words_have_any(seen, L.CONDITIONS), 0.8).otherwise(0.0)
-        if dimension == "Research focus":
-            score = score + F.when(T.word_count(sentence) <= 35, 0.3).otherwise(0.0)
-        if dimension == "Key results / performance":
-            score = score + F.when(T.words_have_any(seen, L.OUTCOMES), 0.8).otherwise(0.0)
-        return F.round(score, 6)
+def _dimension_score(sentence: Column, seen: Column, dimension: str, terms: list[str]) -> Column:
+    score = T.words_count(seen, terms) * F.lit(1.0)
+    if dimension == "Parameters / settings":
+        units = r"(?U)\b\d+(\.\d+)?[\s\x1c-\x1f]?(" + "|".join(L.UNITS) + r")\b"
+        measured = F.when(sentence.rlike(r"\p{Nd}"), F.regexp_count(sentence, F.lit(units))).otherwise(0)
+        score = score + 1.5 * measured + F.when(T.words_have_any(seen, L.CONDITIONS), 0.8).otherwise(0.0)
+    if dimension == "Research focus":
+        score = score + F.when(T.word_count(sentence) <= 35, 0.3).otherwise(0.0)
+    if dimension == "Key results / performance":
+        score = score + F.when(T.words_have_any(seen, L.OUTCOMES), 0.8).otherwise(0.0)
+    return F.round(score, 6)
+
 
-    return T.once(T.term_words(sentence), of)
+def dimension_scores(sentence: Column, dimensions: dict[str, list[str]]) -> Column:
+    """Array of the sentence's scores, one for each dimension in order; its words are looked up once for all of them."""
+    every = [*L.CONDITIONS, *L.OUTCOMES, *(t for terms in dimensions.values() for t in terms)]
+    return T.once(T.term_words(sentence, every), lambda seen: F.array(*[_dimension_score(sentence, seen, d, terms) for d, terms in dimensions.items()]))
+
+
+def dimension_score(sentence: Column, dimension: str, terms: list[str]) -> Column:
+    return dimension_scores(sentence, {dimension: terms})[0]
 
 
 def comparison(docs: DataFrame, dimensions: dict[str, list[str]] = L.DIMENSIONS, most: int = 3, pages: DataFrame | None = None) -> DataFrame:
@@ -287,15 +295,19 @@ def comparison(docs: DataFrame, dimensions: dict[str, list[str]] = L.DIMENSIONS,
     Sentences of one score keep their order, those of the same words count once. Built in the row. With pages snippets
     cite their page.
     """
-    sentences = F.filter(
-        F.transform(T.sentences(F.col("text")), lambda x, i: F.struct(i.alias("position"), T.strip_citations(x).alias("sentence"))), lambda r: ~T.is_bad_for_summary(r["sentence"])
-    )
 
-    def of(rows: Column, d: str, terms: list[str]) -> Column:
+    def told(text: Column) -> Column:
+        stripped = F.transform(T.sentences(text), lambda x, i: F.struct(i.alias("position"), T.strip_citations(x).alias("sentence")))
+        return F.transform(
+            F.filter(stripped, lambda r: ~T.is_bad_for_summary(r["sentence"])),
+            lambda r: F.struct(r["position"], r["sentence"], T.dedup_key(r["sentence"]).alias("key"), dimension_scores(r["sentence"], dimensions).alias("scores")),
+        )
+
+    def of(rows: Column, at: int, d: str) -> Column:
         scored = F.sort_array(
-            F.filter(
-                F.transform(rows, lambda r: F.struct((-dimension_score(r["sentence"], d, terms)).alias("neg"), r["position"].alias("position"), r["sentence"].alias("sentence"), T.dedup_key(r["sentence"]).alias("key"))),
-                lambda r: r["neg"] < 0,
+            F.transform(
+                F.filter(rows, lambda r: r["scores"][at] > 0),
+                lambda r: F.struct((-r["scores"][at]).alias("neg"), r["position"].alias("position"), r["sentence"].alias("sentence"), r["key"].alias("key")),
             )
         )
 
@@ -307,7 +319,7 @@ def comparison(docs: DataFrame, dimensions: dict[str, list[str]] = L.DIMENSIONS,
         none = F.array(F.struct(F.lit(None).cast("int").alias("snippet_ord"), F.lit(None).cast("string").alias("snippet")))
         return T.once(T.once(scored, top), lambda s: F.struct(F.lit(d).alias("dimension"), F.when(F.size(s) > 0, s).otherwise(none).alias("snippets")))
 
-    cells = T.once(sentences, lambda rows: F.array(*[of(rows, d, terms) for d, terms in dimensions.items()]))
+    cells = T.once(T.by_script(F.col("text"), told), lambda rows: F.array(*[of(rows, i, d) for i, d in enumerate(dimensions)]))
     out = docs.select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.dimension", F.explode("c.snippets").alias("s")).select("doc_id", "dimension", "s.*")
     if pages is None:
         return out

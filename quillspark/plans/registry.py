@@ -30,9 +30,13 @@ QUESTIONS = [
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores is dealt to all cores; larger ones stay as they are read."""
+    """A table is dealt to all cores unless its splits fill them evenly; a file of one row group is read by one task alone.
+
+    Counting the rows of the splits reads no column. Splits without rows do not count.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return df.repartition(4 * n) if max(held, default=0) * n > 1.5 * sum(held) else df
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +236,7 @@ def answer_bonuses(spark, sf_dir):
 
 def dimension_scores(spark, sf_dir):
     rows = O.sentence_rows(_texts(spark, sf_dir))
-    scores = F.array(*[F.struct(F.lit(d).alias("dimension"), E.dimension_score(F.col("sentence"), d, ws).alias("score")) for d, ws in DIMENSIONS.items()])
+    scores = F.arrays_zip(F.array(*map(F.lit, DIMENSIONS)).alias("dimension"), E.dimension_scores(F.col("sentence"), DIMENSIONS).alias("score"))
     return rows.select("doc_id", "position", F.explode(scores).alias("s")).select("doc_id", "position", "s.*").where("score > 0")
 
 

@@ -189,3 +189,8 @@ def test_text_files(spark, tmp_path):
     query = stream_files.text_file_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("arrived").collect() == batch
+
+
+def test_comparison_looks_a_sentence_up_once(spark):
+    parsed = E.comparison(docs_of(spark))._jdf.queryExecution().logical().toString()
+    assert 0 < parsed.count("[a-z0-9]+") <= 2  # one for each script, none for each dimension

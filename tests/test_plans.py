@@ -48,3 +48,11 @@ def test_query_is_its_sql(spark, sf_dir, name):
         want = con.execute(registry.oracle_sql()[name])
         columns = [c[0] for c in want.description]
         assert rows(got.columns, map(tuple, got.collect())) == rows(columns, want.fetchall())
+
+
+def test_one_row_group_beside_empty_splits_is_dealt_to_all_cores(spark, tmp_path):
+    texts = [(i, f"The boat number {i} came in late.") for i in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = registry._texts(spark, str(tmp_path))
+    held = [len(p) for p in docs.rdd.glom().collect()]
+    assert sum(held) == 400 + len(registry.X.TEXTS) and max(held) <= sum(held) / 4

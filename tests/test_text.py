@@ -128,3 +128,22 @@ def test_pages(spark):
 
 def test_localized(spark):
     assert one(spark, "**Why:** Weak light", markup.localized) == "**判断依据：** 弱 light"
+
+
+def test_patterns_of_ascii_texts_find_the_same(spark):
+    from quillspark.plans import fixtures as X
+
+    texts = [(x,) for x in [*X.TEXTS, *X.LINES, *X.CITED, "A\x1cB \x0b C. D\te (cid:4) f", "one\x1f. (two. ) 3 nm"]]
+    docs = spark.createDataFrame(texts, "t string").where("octet_length(t) = length(t)")
+    for f in (T.sentences, T.logical_lines, T.clean_text, T.strip_citations, T.tokens, T.is_noisy, T.is_bad_for_summary, T.normalize_heading):
+        plain = T._PLAIN.set(True)
+        try:
+            fast = f(F.col("t"))
+        finally:
+            T._PLAIN.reset(plain)
+        general = T._PLAIN.set(False)
+        try:
+            slow = f(F.col("t"))
+        finally:
+            T._PLAIN.reset(general)
+        assert docs.where(~fast.eqNullSafe(slow)).count() == 0, f.__name__
