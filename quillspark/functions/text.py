@@ -73,6 +73,10 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_p(r"(?U)[^\s\x1c-\x1f]+")), F.lit(0))
 
 
+def term_pattern() -> str:
+    return "[a-z0-9_]{2,}" if _PLAIN.get() else r"(?U)\b\w\w+\b"  # of a case-folded text
+
+
 def word_count(c: Column) -> Column:
     return F.size(tokens(F.coalesce(c, F.lit(""))))
 

@@ -205,9 +205,15 @@ def with_pages(rows: DataFrame, pages: DataFrame, sentence: str) -> DataFrame:
     return rows.join(found, ["doc_id", sentence], "left").select(*rows.columns, "page_number")
 
 
+def term_list(c: Column, stop: list[str] = L.STOP_WORDS) -> Column:
+    """Array of a text's words of two characters or more that are no stop words, in order."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.filter(T.by_script(low, lambda x: F.regexp_extract_all(x, F.lit(T.term_pattern()), F.lit(0))), lambda w: ~w.isin(stop))
+
+
 def term_counts(c: Column, stop: list[str] = L.STOP_WORDS) -> Column:
     """Array of (term, tf) of a text, by term: words of two characters or more, and pairs of what stop words leave."""
-    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(stop))
+    found = term_list(c, stop)
     pair = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
 
     def runs(terms: Column) -> Column:

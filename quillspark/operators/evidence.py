@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import chain, groupby, pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,47 +63,126 @@ def role_bonus(sentence: Column, roles: dict[str, list[str]] = L.ROLES, domain:
     return T.once(T.term_words(sentence, [t for terms in [*roles.values(), *domain.values()] for t in terms]), of)
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(b[e["key"]], F.lit(0.0)))
-
-
-def summary_scores(candidates: DataFrame) -> DataFrame:
+def _weights(words: dict[int, list[list[str]]], n: int, max_df: float) -> dict[int, dict[str, float]]:
+    """The L2-normalized smoothed TF-IDF of one document's sentences, as tfidf has it; n counts its sentences."""
+    tf = {}
+    for ord_, rows in words.items():
+        count = tf[ord_] = {}
+        for ws in rows:
+            for t in (*ws, *map(" ".join, pairwise(ws))):
+                count[t] = count.get(t, 0) + 1
+    df = Counter(chain.from_iterable(tf.values()))
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items() if d <= max_df * n}
+    out = {}
+    for ord_, count in tf.items():
+        raw = {t: c * idf[t] for t, c in count.items() if t in idf}
+        norm = math.sqrt(math.fsum(x * x for x in raw.values()))
+        out[ord_] = {t: x / norm for t, x in raw.items()}
+    return out
+
+
+def _alike(a: dict[str, float], b: dict[str, float]) -> float:
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(x * many[t] for t, x in few.items() if t in many)
+
+
+def _chosen(ords: list[int], scores: list[float], most: float, vectors: dict[int, dict[str, float]], k: int, alike: float) -> set[int]:
+    if len(ords) <= k or most == 0:
+        return set(sorted(ords)[:k])
+    got: list[int] = []
+    for _, ord_ in sorted((-s, o) for s, o in zip(scores, ords, strict=True)):
+        if len(got) >= k:
+            break
+        if all(_alike(vectors.get(o, {}), vectors.get(ord_, {})) <= alike for o in got):
+            got.append(ord_)
+    return set(got)
+
+
+def _weighed(candidates: DataFrame, max_df: float = 0.9, k: int | None = None, alike: float = 0.68, vectors: bool = False) -> DataFrame:
+    """candidates with base, score and, with k, only the k best of each document; with vectors also the weights by term.
+
+    Candidates are dealt by document and read in order, as a stream: what is kept is one document at a time. Only words
+    are split in the row; counting terms and comparing sentences needs hash tables, which expressions lack.
+    """
+    place = {c: f"c{i}" for i, c in enumerate(candidates.columns)}
+    session = candidates.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    weight = F.coalesce(*[F.when(F.col("section") == s, F.lit(w)) for s, w in L.SECTION_WEIGHTS.items()], F.lit(1.0))
+    early = F.when(F.col("position") <= 2, 1.10).otherwise(1.0)
+    dealt = candidates.repartition(n, "doc_id").sortWithinPartitions("doc_id", "ord").select(
+        "doc_id", "ord", F.array_join(O.term_list(F.col("sentence")), " ").alias("words"), weight.alias("weight"), early.alias("early"),
+        role_bonus(F.col("sentence")).alias("bonus"), *[F.col(f"`{c}`").alias(at) for c, at in place.items()],
+    )
+
+    def document(own: list[tuple], doc_id: object) -> tuple[list, list, list]:
+        words: dict[int, list[list[str]]] = {}
+        if doc_id is not None:  # rows without a document share no terms
+            for ord_, ws, *_ in own:
+                if ws:
+                    words.setdefault(ord_, []).append(ws.split(" "))
+        vecs = {o: v for o, v in _weights(words, len(own), max_df).items() if v}
+        sums = {o: math.fsum(v.values()) for o, v in vecs.items()}
+        base = [sums.get(o, 0.0) for o, *_ in own]
+        if k is None:
+            return base, [True] * len(own), [sorted(vecs[o].items()) if o in vecs else None for o, *_ in own] if vectors else []
+        scores = [float(Decimal(repr(x * w * e + b)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for x, (_, _, w, e, b) in zip(base, own, strict=True)]
+        picked = _chosen([o for o, *_ in own], scores, max(base), vecs, k, alike)
+        return base, [o in picked for o, *_ in own], []
+
+    def run(batches):
+        import pyarrow as pa
+
+        def told(parts: list) -> list:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            base, keep, vecs = [], [], []
+            units = zip(*(rows.column(i).to_pylist() for i in range(6)), strict=True)
+            for doc_id, own in groupby(units, lambda r: r[0]):
+                for out, got in zip((base, keep, vecs), document([r[1:] for r in own], doc_id), strict=True):
+                    out.extend(got)
+            out = rows.select([*place.values(), "weight", "early", "bonus"]).append_column("base", pa.array(base, pa.float64()))
+            if vectors:
+                out = out.append_column("vector", pa.array(vecs, pa.map_(pa.string(), pa.float64())))
+            return (out if k is None else out.filter(pa.array(keep))).to_batches()
+
+        held: list = []  # of the document that the next batch may go on with
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            if not ids:
+                continue
+            cut = len(ids)
+            while cut and ids[cut - 1] == ids[-1]:
+                cut -= 1
+            if cut or (held and held[-1].column(0)[0].as_py() != ids[-1]):
+                if parts := [*held, *([batch.slice(0, cut)] if cut else [])]:
+                    yield from told(parts)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from told(held)
+
+    fields = [f"{place[f.name]} {f.dataType.simpleString()}" for f in candidates.schema.fields]
+    schema = ", ".join([*fields, "weight double, early double, bonus double, base double", *["vector map<string,double>"] * vectors])
+    score = F.round(F.col("base") * F.col("weight") * F.col("early") + F.col("bonus"), 9)
+    more = ["base", *["vector"] * vectors]
+    return dealt.mapInArrow(run, schema).select(*[F.col(at).alias(c) for c, at in place.items()], *more, score.alias("score"))
+
+
+def summary_scores(candidates: DataFrame, vectors: bool = True) -> DataFrame:
     """candidates with base (sum of a sentence's TF-IDF weights within its document), vector, and score.
 
     The base counts by the section's weight, a tenth more among its first three sentences, and the role bonus is added.
+    vectors: whether the weights by term come along, null where a sentence has none.
     """
-    weights = tfidf(candidates, ["doc_id"], ["ord"], "sentence", 0.9).groupBy("doc_id", "ord").agg(
-        F.sum("w").alias("base"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("vector")
-    )
-    weight = F.coalesce(*[F.when(F.col("section") == s, F.lit(w)) for s, w in L.SECTION_WEIGHTS.items()], F.lit(1.0))
-    early = F.when(F.col("position") <= 2, 1.10).otherwise(1.0)
-    scored = candidates.join(weights, ["doc_id", "ord"], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
-    return scored.withColumn("score", F.round(F.col("base") * weight * early + role_bonus(F.col("sentence")), 9))
+    return _weighed(candidates, vectors=vectors)
 
 
 def summaries(candidates: DataFrame, k: int = 5, alike: float = 0.68) -> DataFrame:
     """(doc_id, ord, section, sentence): the k best sentences of each document, none alike to a better one.
 
-    One document's candidates meet in one row, best first; each is compared with the chosen ones only, k at most.
+    One document's candidates meet in one task, best first; each is compared with the chosen ones only, k at most.
     Documents of k candidates or fewer keep all; where no term is left, the first k stay. Ties keep the earlier sentence.
     """
-    scored = summary_scores(candidates)
-    rows = scored.groupBy("doc_id").agg(
-        F.max("base").alias("most"),
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "section", "sentence"))).alias("ranked"),
-        F.map_from_entries(F.collect_list(F.struct("ord", F.coalesce("vector", F.expr("cast(map() as map<string,double>)")).alias("v")))).alias("vectors"),
-    )
-    chosen = F.aggregate(
-        "ranked",
-        F.expr("cast(array() as array<int>)"),
-        lambda got, x: F.when(F.size(got) >= k, got)
-        .when(F.exists(got, lambda o: _cosine(F.col("vectors")[o], F.col("vectors")[x["ord"]]) > alike), got)
-        .otherwise(F.concat(got, F.array(x["ord"]))),
-    )
-    by_order = F.slice(F.sort_array(F.transform("ranked", lambda r: r["ord"])), 1, k)
-    picked = F.when((F.size("ranked") <= k) | (F.col("most") == 0), by_order).otherwise(chosen)
-    kept = rows.withColumn("picked", picked).select("doc_id", F.explode(F.expr("filter(ranked, r -> array_contains(picked, r.ord))")).alias("r"))
-    return kept.select("doc_id", "r.ord", "r.section", "r.sentence")
+    return _weighed(candidates, k=k, alike=alike).select("doc_id", "ord", "section", "sentence")
 
 
 def summary_texts(

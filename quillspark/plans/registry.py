@@ -207,7 +207,7 @@ def target_documents(spark, sf_dir):
 
 def summary_scores(spark, sf_dir):
     cands = O.summary_candidates(_texts(spark, sf_dir), ALIASES)
-    return E.summary_scores(cands).select("doc_id", "ord", F.round("score", 6).alias("score"))
+    return E.summary_scores(cands, vectors=False).select("doc_id", "ord", F.round("score", 6).alias("score"))
 
 
 def summaries(spark, sf_dir):

@@ -56,3 +56,13 @@ def test_one_row_group_beside_empty_splits_is_dealt_to_all_cores(spark, tmp_path
     docs = registry._texts(spark, str(tmp_path))
     held = [len(p) for p in docs.rdd.glom().collect()]
     assert sum(held) == 400 + len(registry.X.TEXTS) and max(held) <= sum(held) / 4
+
+
+@pytest.mark.parametrize("name", ["summary_scores", "summaries"])
+def test_summaries_read_the_documents_once(spark, sf_dir, name):
+    assert plan(registry.queries()[name](spark, sf_dir)).count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["summary_scores", "summaries"])
+def test_summary_query_is_its_sql(spark, sf_dir, name):
+    test_query_is_its_sql(spark, sf_dir, name)
