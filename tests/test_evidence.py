@@ -194,3 +194,22 @@ def test_text_files(spark, tmp_path):
 def test_comparison_looks_a_sentence_up_once(spark):
     parsed = E.comparison(docs_of(spark))._jdf.queryExecution().logical().toString()
     assert 0 < parsed.count("[a-z0-9]+") <= 2  # one for each script, none for each dimension
+
+
+def test_summaries_of_documents_that_lie_in_several_batches(spark):
+    rows = [(d, "body", i, i, f"The {w} boats of pier {d} came home late on day {i}.") for d in range(5) for i, w in enumerate("red blue green brown black white grey".split())]
+    cands = spark.createDataFrame(rows, "doc_id long, section string, position int, ord int, sentence string")
+    whole = [sorted(f(cands).collect()) for f in (E.summaries, E.summary_scores)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert [sorted(f(cands).collect()) for f in (E.summaries, E.summary_scores)] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole[1]) == 35 and all(r.vector for r in whole[1])
+
+
+def test_summaries_of_a_repeated_document(spark):
+    rows = [(d, "body", 0, 0, "The red boats came home late that day.") for d in (1, 1, None, None)]
+    cands = spark.createDataFrame(rows, "doc_id long, section string, position int, ord int, sentence string")
+    assert len(E.summaries(cands).collect()) == 4
+    assert [r.base > 0 for r in E.summary_scores(cands).orderBy("doc_id").collect()] == [False, False, True, True]
