@@ -36,54 +36,112 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.unsafe = re.compile("|".join([*added, "[\x1c-\x1f]"]))
+        self.wide = any(re.search(r"\s", t) for t in added)  # names that lie in several pieces
         # Two generations of pieces: a full one becomes the old one, from which pieces that are met again come back.
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
+        # Names of a byte-level vocabulary's ids have one character for each byte.
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+        self.width[list(vocab.values())] = [len(t) for t in vocab]
         self.marks = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, keys: list[str], texts: list[str]) -> bytes:
-        """The ids of texts one after the other; a text's ids are kept under its key."""
-        try:
-            return b"".join(map(self.memo.__getitem__, keys))
-        except KeyError:
-            if len(self.memo) > self.limit:
-                self.old, self.memo = self.memo, {}
-            new, ended = {}, {}
-            for k, t in zip(keys, texts, strict=True):
-                if k not in self.memo:
-                    if (ids := self.old.get(k)) is not None:
-                        self.memo[k] = ids
-                    elif t[-1] in self.marks and t[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                        ended[k] = k[:-1], t[-1]
-                        if k[:-1] not in self.memo:
-                            new[k[:-1]] = t[:-1]
+    def _cut(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from one call for all: cut where the bytes of the ids add up to the pieces' ends."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        if len(ids) and int(ids.max()) < len(self.width):
+            at = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(at, ends) + 1
+            if at[-1] == ends[-1] and np.array_equal(at[cuts - 1], ends):
+                own, stops = ids.tobytes(), (4 * cuts).tolist()
+                return [own[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        return self._whole(pieces)
+
+    def _learn(self, keys: list[str], texts: list[str]) -> None:
+        """Keep the ids of texts under their keys."""
+        if len(self.memo) > self.limit:
+            self.old, self.memo = self.memo, {}
+        memo, old, marks = self.memo, self.old, self.marks
+        new: dict[str, str] = {}
+        ended: list[str] = []
+        for k, t in zip(keys, texts, strict=True):
+            if k in memo or k in new:
+                continue
+            if (ids := old.get(k)) is not None:
+                memo[k] = ids
+            elif t[-1] in marks and t[-2:-1].isalpha():  # a mark after a letter is a token of its own
+                ended.append(k)
+                body = k[:-1]
+                if body not in memo:
+                    if (ids := old.get(body)) is not None:
+                        memo[body] = ids
                     else:
-                        new[k] = t
-            self.memo.update(zip(new, self._whole(list(new.values())), strict=True))
-            self.memo.update((k, self.memo[body] + self.marks[mark]) for k, (body, mark) in ended.items())
-            return b"".join(map(self.memo.__getitem__, keys))
+                        new[body] = t[:-1]
+            else:
+                new[k] = t
+        # Pieces that begin with white space and end without it follow each other as in a text.
+        joined = {k: t for k, t in new.items() if t[0].isspace() and not t[-1].isspace()}
+        if len(joined) < len(new):
+            alone = {k: t for k, t in new.items() if k not in joined}
+            memo.update(zip(alone, self._whole(list(alone.values())), strict=True))
+        if joined:
+            memo.update(zip(joined, self._cut(list(joined.values())), strict=True))
+        for k in ended:
+            memo[k] = memo[k[:-1]] + marks[k[-1]]
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        # The usual text has single blanks and line ends alone: a key is a piece without its blank, or with its line end.
-        keys = text.replace("\n", " \n").split(" ")
-        first = keys[0]
-        keys[0] = " " + first
-        try:
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, keys)), np.uint32)
-        except KeyError:
-            pass
-        if self.unsafe.search(text):
-            return np.frombuffer(self._whole([text])[0], np.uint32)
-        if all(k and not k[-1].isspace() for k in keys[1:]) and first and not first[-1].isspace():
-            return np.frombuffer(self._known(keys, [first, *(k if k[0] == "\n" else " " + k for k in keys[1:])]), np.uint32)
-        pieces = _PIECES.findall(text)
-        return np.frombuffer(self._known(["  " + p for p in pieces], pieces), np.uint32)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Pieces that are not known are encoded by one call for all texts."""
+        out: list = []
+        open_, keys_of, texts_of = [], [], []
+        get = self.memo.get
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            # The usual text has single blanks and line ends alone: a key is a piece without its blank, or with its line end.
+            keys = text.replace("\n", " \n").split(" ")
+            first = keys[0]
+            keys[0] = " " + first
+            got = list(map(get, keys))
+            try:
+                out.append(b"".join(got))
+                continue
+            except TypeError:  # a piece that is not known
+                pass
+            # Known keys are pieces of this form; blanks that follow each other leave keys that are never known.
+            missing = [k for k, ids in zip(keys, got, strict=True) if ids is None]
+            if first and all(k and not k[-1].isspace() for k in missing):
+                pieces = [k if k[0] == "\n" else " " + k for k in missing]
+                if got[0] is None:
+                    pieces[0] = first
+                unsafe = self.unsafe.search(text if self.wide else "".join(pieces))
+            else:
+                unsafe = self.unsafe.search(text)
+                pieces = _PIECES.findall(text)
+                missing = ["  " + p for p in pieces]
+                got = [None] * len(missing)
+            if unsafe:
+                out.append(self._whole([text])[0])
+                continue
+            open_.append((len(out), got, missing))
+            out.append(b"")
+            keys_of += missing
+            texts_of += pieces
+        if open_:
+            self._learn(keys_of, texts_of)
+            known = self.memo.__getitem__
+            for i, got, missing in open_:
+                found = map(known, missing)
+                out[i] = b"".join([next(found) if ids is None else ids for ids in got])
+        return [np.frombuffer(ids, np.uint32) for ids in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of a Python worker: pieces stay known from task to task
@@ -104,12 +162,22 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     tokenizer: path of a tokenizers file.
     """
 
+    def encoded(enc: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for text in texts:
+            some.append(text.as_py())
+            size += len(some[-1] or "")
+            if size > 1 << 18:
+                yield from enc.batch(some)
+                some, size = [], 0
+        yield from enc.batch(some)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
         for batch in rows_per_batch(batches, 4 << 20):
             out: list[list] = [[], [], [], [], [], []]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4")
+            for i, found in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1)), strict=True):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 at = 0
                 while at < len(ids):
                     n = (len(ids) - at) % capacity or min(capacity, len(ids) - at)

@@ -95,3 +95,20 @@ def test_bounds_hold_for_every_packing():
         lengths = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 9))), reverse=True)
         n = next(n for n in range(1, 10) if fits(lengths, [12] * n, 12))
         assert packing.lower_bound(np.bincount(lengths, minlength=13), 12) <= n <= packing.best_fit(np.array(lengths), 12).max() + 1
+
+
+def test_texts_of_a_batch_share_calls_and_keep_their_ids():
+    rnd = random.Random(3)
+    parts = ["foo", "bar.", "Ünï,", "  ", "\n", "\t", "潮位", "<|endoftext|>", "\x1c", "\xa0", "'s", "3.", "a,", "\r\n", "😀", "<|end", "x\ty"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randint(0, 9))) for _ in range(3000)] + [None]
+    for limit in (50, 500_000):
+        enc = packing.Encoder(tokenizer_path(), limit)
+        usual = [t for t in texts if t and not enc.unsafe.search(t)]
+        calls = []
+        whole, cut = enc._whole, enc._cut
+        enc._whole, enc._cut = lambda t: calls.append(1) or whole(t), lambda t: calls.append(1) or cut(t)
+        enc.batch(usual)
+        assert len(calls) <= 2
+        for at in range(0, len(texts), 37):
+            for text, ids in zip(texts[at : at + 37], enc.batch(texts[at : at + 37]), strict=True):
+                assert ids.tolist() == (enc.tok.encode(text, add_special_tokens=False).ids if text else [])
