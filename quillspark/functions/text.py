@@ -23,6 +23,7 @@ CLOSERS = "[\"'”’)\\]}]*"
 ENDED = "[.!?。！？]" + CLOSERS + "$"
 CJK = "[㐀-鿿]"
 WHITE = r"(?U)[\s\x1c-\x1f]"
+SPACED = r"(?U)[\s\x1c-\x1f]{2,}|[[\s\x1c-\x1f]&&[^ ]]"  # white space other than a single blank
 LINE_ENDS = "\n|\x0b|\x0c|[\x1c-\x1e]|\x85|\u2028|\u2029"
 MARK = ""  # stands where a sentence ends; private use, never in cleaned text
 
@@ -226,7 +227,7 @@ def _sentences(c: Column) -> Column:
     if _PLAIN.get():
         ends = r"([.!?][\"')\]}]*)(?=[\s\x1c-\x1f]|$)"
     cut = F.flatten(F.transform(body, lambda x: F.split(F.regexp_replace(protect(x), ends, "$1" + MARK), MARK)))
-    neat = F.transform(cut, lambda x: restore(F.regexp_replace(strip(x), _p(WHITE + "+"), " ")))
+    neat = F.transform(cut, lambda x: restore(F.regexp_replace(strip(x), _p(SPACED), " ")))
     return F.filter(neat, lambda x: (x != "") & ~is_noisy(x))
 
 
@@ -340,7 +341,7 @@ CITATION = r"(?U)\[[\d,\-\s\x1c-\x1f]+\]"
 def strip_citations(c: Column) -> Column:
     """Without marks such as [1], [2,3] and [4-6], repeated white space and blanks before punctuation."""
     out = F.regexp_replace(strip(c), _p(CITATION), "")
-    return strip(F.regexp_replace(F.regexp_replace(out, _p(WHITE + "+"), " "), r" +([,.;:!?])", "$1"))
+    return strip(F.regexp_replace(F.regexp_replace(out, _p(SPACED), " "), r" +([,.;:!?])", "$1"))
 
 
 def normalize_heading(c: Column) -> Column:
@@ -358,7 +359,7 @@ def section_of(line: Column, aliases: dict[str, list[str]]) -> Column:
 
 
 def dedup_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]+", " "))
+    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-zA-Z0-9]+"), F.lit(0)), " ")
 
 
 def page_key(c: Column) -> Column:

@@ -147,3 +147,12 @@ def test_patterns_of_ascii_texts_find_the_same(spark):
         finally:
             T._PLAIN.reset(general)
         assert docs.where(~fast.eqNullSafe(slow)).count() == 0, f.__name__
+
+
+def test_single_blanks_need_no_match(spark):
+    texts = ["a b", " a  b ", "a\tb", "A, b. c", "x \n y\x1cz", " a b", "a . b", "..", " ", "", "é a-b (c)"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    assert docs.where(T.dedup_key(t) != F.trim(F.regexp_replace(F.lower(t), "[^a-zA-Z0-9]+", " "))).count() == 0
+    assert docs.where(F.regexp_replace(t, T.SPACED, " ") != F.regexp_replace(t, T.WHITE + "+", " ")).count() == 0
+    assert docs.select(F.sum(F.regexp_count(t, F.lit(T.SPACED)))).first()[0] < docs.select(F.sum(F.regexp_count(t, F.lit(T.WHITE + "+")))).first()[0]
