@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,23 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_TABLE).split() if text else []
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def rows_per_batch(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `limit` bytes at most (or one row): memory follows no table's longest rows."""
+    """Cut batches so that each holds about `limit` bytes at most (or one row): memory follows no table's longest rows.
+
+    Workers live from stage to stage: what the task before left unused is given back first, then what each large batch
+    and this task leave.
+    """
+    give_back()
     for batch in batches:
         if batch.nbytes <= limit:
             yield batch
@@ -36,6 +52,9 @@ def rows_per_batch(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> I
                 n //= 2
             yield batch.slice(at, n)
             at += n
+        del batch
+        give_back()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,9 +1,15 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables and clashing names, with the values they give."""
 
+import os
+import re
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, decontam, lines, repeats
+from quillspark.llm.common import rows_per_batch
 from quillspark.llm.queries import op5_chat_format
 
 LINE = "A line that is surely longer than forty characters."
@@ -115,3 +121,14 @@ def test_perfect_hash_probes(n):
     assert counts.tolist() == list(range(5, n + 5)) and keepers.tolist() == [3 * i for i in range(n)]
     other, _ = shard.probe(h1, h2 ^ np.uint64(1))
     assert not other.any() and not shard.probe(rng.integers(0, 1 << 63, 1000, np.uint64), rng.integers(0, 1 << 63, 1000, np.uint64))[0].any()
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_unused_memory_is_given_back():
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    left = [pa.array(["x" * 1000] * 200) for _ in range(500)][::25]
+    before = held()
+    assert [b.num_rows for b in rows_per_batch(iter([pa.RecordBatch.from_arrays([pa.array([1, 2])], ["n"])]))] == [2]
+    assert held() < before - 50 and len(left) == 20  # of about 100 MB
