@@ -19,25 +19,35 @@ NOISE_MARKERS = ["fig.", "figs.", "figure", "eq.", "equation", "appendix", "supp
 SUMMARY_MARKERS = ["eq.", "equation", "fig.", "figure", "table", "appendix", "supplementary"]
 SUMMARY_SYMBOLS = "≈σ∆Δ⊥∥∞∂∑∫αβγθλμπωχ=+/\\<>|"
 NOISE_SYMBOLS = SUMMARY_SYMBOLS + "η±√∇"
-CLOSERS = "[\"'”’)\\]}]*"
-ENDED = "[.!?。！？]" + CLOSERS + "$"
+# A class looks up characters below U+0100 in one bitmap, but tries ranges and others one by one: these stand behind a test
+# that most characters fail.
+FEW = "[\u0100-\uffff&&[{}]]"
+CLOSERS = "[\"'" + FEW.format("”’") + ")\\]}]*"
+END = "[.!?" + FEW.format("。！？") + "]"
+ENDED = END + CLOSERS + "$"
 CJK = "[㐀-鿿]"
 WHITE = r"(?U)[\s\x1c-\x1f]"
 SPACED = r"(?U)[\s\x1c-\x1f]{2,}|[[\s\x1c-\x1f]&&[^ ]]"  # white space other than a single blank
 LINE_ENDS = "\n|\x0b|\x0c|[\x1c-\x1e]|\x85|\u2028|\u2029"
 MARK = ""  # stands where a sentence ends; private use, never in cleaned text
+BLANKS = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+ALL_BLANKS = BLANKS + r"\x85\xa0" + FEW.format("\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def lit_class(chars: str) -> str:
-    return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in chars) + "]"
+    low, high = ("".join("\\" + c if c in "\\[]^-&" else c for c in chars if (c < "\u0100") == is_low) for is_low in (True, False))
+    return f"[{low}{FEW.format(high) if high else ''}]"
 
 
 _PLAIN: ContextVar[bool | None] = ContextVar("plain", default=None)
 
 
-def by_script(c: Column, build: Callable[[Column], Column]) -> Column:
-    """build(c), built twice: once for texts of ASCII alone, whose patterns need no Unicode tables. Both give the same."""
-    if _PLAIN.get() is not None:
+def by_script(c: Column, build: Callable[[Column], Column], again: bool = False) -> Column:
+    """build(c), built twice: once for texts of ASCII alone, whose patterns need no Unicode tables. Both give the same.
+
+    again: c is a part of a text, which may be of ASCII alone where the text is not.
+    """
+    if _PLAIN.get() or (_PLAIN.get() is False and not again):
         return build(c)
 
     def built(x: Column, plain: bool) -> Column:
@@ -52,8 +62,10 @@ def by_script(c: Column, build: Callable[[Column], Column]) -> Column:
 
 def _p(pattern: str) -> str:
     """The pattern, for texts of ASCII alone without its Unicode flag and characters beyond ASCII (but for U+E000)."""
+    pattern = pattern.replace(r"\s\x1c-\x1f", BLANKS if _PLAIN.get() else ALL_BLANKS)
     if not _PLAIN.get():
         return pattern
+    pattern = re.sub("\\[\u0100-\uffff&&\\[[^]]*]]", "", pattern)
     out = re.sub("[\x80-\ud7ff\uf900-\uffff]", "", re.sub("[㐀-鿿]-?[㐀-鿿]", "", pattern))
     return out.replace("(?U)", "").replace("(?iU)", "(?i)")
 
@@ -61,7 +73,7 @@ def _p(pattern: str) -> str:
 def strip(c: Column) -> Column:
     if _PLAIN.get():
         return F.trim(c, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"))
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(c, _p(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"), "")
 
 
 def once(c: Column, then) -> Column:
@@ -178,18 +190,20 @@ def _logical_lines(c: Column) -> Column:
 
 def _quality(s: Column, most_words: int, metadata: list[str], markers: list[str], symbols: str, most_symbols: int, least_alpha: float) -> Column:
     """True for a sentence that a filter rejects; the two filters differ in the arguments."""
-    low = F.lower(s)
-    hits = sum((F.contains(low, F.lit(m)).cast("int") for m in markers), F.lit(0))
-    has = [F.contains(low, F.lit(m)) for m in metadata]
-    letters = F.length(F.regexp_replace(s, "[^a-zA-Z]+" if _PLAIN.get() else r"\P{L}+", ""))
+
+    def marked(low: Column) -> Column:
+        out = sum((F.contains(low, F.lit(m)).cast("int") for m in markers), F.lit(0)) >= 2
+        for m in metadata:
+            out = out | F.contains(low, F.lit(m))
+        return out
+
+    letters = F.length(F.regexp_replace(s, r"\P{Alpha}+" if _PLAIN.get() else r"\P{L}+", ""))
     common = (
         (letters / F.greatest(F.length(s), F.lit(1)) < least_alpha)
         | (F.regexp_count(s, F.lit(_p(lit_class(symbols)))) > most_symbols)
         | (s.rlike(r"\p{Nd}") & (F.regexp_count(s, F.lit(_p(r"(?U)\b\d+(\.\d+)?\b"))) > 8))
-        | (hits >= 2)
+        | once(F.lower(s), marked)
     )
-    for h in has:
-        common = common | h
 
     def by_words(words: Column) -> Column:
         n = F.size(words)
@@ -209,11 +223,11 @@ def is_noisy(c: Column) -> Column:
             return out
         return out | (F.regexp_count(s, F.lit(lit_class(ARTIFACTS))) + F.regexp_count(s, F.lit("�")) > 1)
 
-    return once(strip(F.coalesce(c, F.lit(""))), judged)
+    return by_script(F.coalesce(c, F.lit("")), lambda x: once(strip(x), judged), again=True)
 
 
 def is_bad_for_summary(c: Column) -> Column:
-    return once(F.coalesce(c, F.lit("")), lambda s: _quality(s, 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45))
+    return by_script(F.coalesce(c, F.lit("")), lambda s: _quality(s, 85, SUMMARY_METADATA, SUMMARY_MARKERS, SUMMARY_SYMBOLS, 7, 0.45), again=True)
 
 
 def sentences(c: Column) -> Column:
@@ -223,7 +237,7 @@ def sentences(c: Column) -> Column:
 
 def _sentences(c: Column) -> Column:
     body = F.filter(logical_lines(c), lambda x: ~is_heading(x))
-    ends = r"(?U)([.!?。！？]" + CLOSERS + r")(?=[\s\x1c-\x1f]|$|" + CJK + ")"
+    ends = rf"(?U)({END}" + CLOSERS + r")(?=[\s\x1c-\x1f]|$|" + CJK + ")"
     if _PLAIN.get():
         ends = r"([.!?][\"')\]}]*)(?=[\s\x1c-\x1f]|$)"
     cut = F.flatten(F.transform(body, lambda x: F.split(F.regexp_replace(protect(x), ends, "$1" + MARK), MARK)))
